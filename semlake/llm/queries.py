@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup
+from . import decontaminate, line_dedup, secret_scan, simhash
 
 QUERIES = {
+    "op3_secret_scan": secret_scan.op3_secret_scan,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op9_simhash": simhash.op9_simhash,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
+    "op3_secret_scan": secret_scan.OP3_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

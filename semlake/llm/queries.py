@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, secret_scan, simhash
+from . import decontaminate, line_dedup, media, secret_scan, simhash, token_counts, url_filter
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op2_media_columns": media.op2_media_columns,
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_simhash": simhash.op9_simhash,
     "op10_line_dedup": line_dedup.op10_line_dedup,

@@ -7,12 +7,14 @@ of the documents. Where that word stands, length and positional bounds say
 whether the window fits, and the words around are compared one by one.
 
 The documents are read twice (once to count the benchmark's own words, once to
-join), and no word of theirs is shuffled as long as the benchmark's table is
-small enough to send to every task.
+join), and no word of theirs is shuffled: the benchmark's tables are sent to
+every task, in as many blocks of bounded size as they need.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from ._common import ascii_lower, col, table, written
 
 #: Runs of what is no word; A-Z are letters here, as they are lower-cased later, word by word.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows of the benchmark's tables up to which they are broadcast; beyond, both sides are shuffled.
+#: Rows of the benchmark's tables that are sent to every task at once; more go in blocks, each against all documents.
 BROADCAST_ROWS = 100_000
 
 
@@ -28,8 +30,10 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAK, -1), "")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _blocks(df: DataFrame, by: str) -> list[DataFrame]:
+    """The rows in broadcast blocks of about ``BROADCAST_ROWS``, one at least."""
+    n = -(-df.count() // BROADCAST_ROWS)
+    return [F.broadcast(df.where(F.pmod(F.xxhash64(by), F.lit(n)) == i) if n > 1 else df) for i in range(max(n, 1))]
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8, at_least: int = 2) -> DataFrame:
@@ -47,31 +51,32 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1))), lambda i: F.slice("w", i, size))
     windows = written(bench.select("item", F.explode(spans).alias("win")).withColumn("key", F.sha2(F.to_json("win"), 256)), "windows")
 
-    vocabulary = windows.select(F.explode("win").alias("word")).distinct()
-    n_vocabulary = vocabulary.count()
     texts = docs.select(col(id_col).alias("doc"), _words(col(text_col)).alias("words"))
-    seen = texts.select(F.explode("words").alias("raw")).select(ascii_lower(F.col("raw")).alias("word"))
-    counts = written(seen.join(_small(vocabulary, n_vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("df")), "counts")
+    vocabulary = written(windows.select(F.explode("win").alias("word")).distinct(), "vocabulary")
+    seen = texts.select(F.explode_outer("words").alias("raw")).select(ascii_lower(F.col("raw")).alias("word"))
+    counts = [seen.join(block, "word").groupBy("word").agg(F.count(F.lit(1)).alias("df")) for block in _blocks(vocabulary, "word")]
+    counts = written(reduce(DataFrame.unionByName, counts), "counts")
 
     # the rarest word of each window, and where in it that stands; a word that no document has rules the window out
     tokens = windows.select("key", "win").dropDuplicates(["key"]).select("key", "win", F.posexplode("win").alias("off", "word"))
     tokens = tokens.join(counts, "word", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "off")).alias("t"), F.first("win").alias("win")).where("t.df > 0")
-    prefix = written(tokens.select("key", F.col("t.word").alias("word"), F.col("t.off").alias("off"), "win"), "prefix")
-    n_prefix = prefix.count()
+    prefix = written(tokens.select("key", F.col("t.word").alias("word"), F.col("t.off").alias("off"), F.size("win").alias("len"), F.array_join("win", " ").alias("said")), "prefix")
 
     # one more entry of each document that always matches and carries its length; no word is like it
     mark = " "
-    always = docs.sparkSession.range(1).select(F.lit("").alias("key"), F.lit(mark).alias("word"), F.lit(0).alias("off"), F.lit(None).cast("array<string>").alias("win"))
+    always = docs.sparkSession.range(1).select(F.lit("").alias("key"), F.lit(mark).alias("word"), F.lit(1).alias("off"), F.lit(0).alias("len"), F.lit("").alias("said"))
     places = texts.select(F.monotonically_increasing_id().alias("row"), "doc", F.size("words").alias("n"), "words").select("row", "doc", "n", "words", F.posexplode(F.concat(F.array(F.lit(mark)), "words")).alias("at", "raw"))
     places = places.withColumn("word", ascii_lower(F.col("raw")))
+    # only expressions that are compiled: join and generator then stay one loop, which copies no document's words for each of them
     start = F.col("at") - 1 - F.col("off")
-    fits = (start >= 0) & (start + F.size("win") <= F.col("n")) & (F.transform(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.greatest(F.size("win"), F.lit(0))), ascii_lower) == F.col("win"))
-    found = places.join(_small(prefix.unionByName(always), n_prefix + 1), "word").where((F.col("key") == "") | fits)
-    found = written(found.select("row", "doc", "n", "key", start.alias("start"), F.size("win").alias("len")), "found")
+    around = ascii_lower(F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("len")), " "))
+    fits = (start >= 0) & (start + F.col("len") <= F.col("n")) & (around == F.col("said"))
+    found = [places.join(F.broadcast(block.unionByName(always)) if i == 0 else block, "word").where((F.col("key") == "") | fits).select("row", "doc", "n", "key", start.alias("start"), "len") for i, block in enumerate(_blocks(prefix, "key"))]
+    found = written(reduce(DataFrame.unionByName, found), "found")
 
     hits = found.where("key <> ''")
     covered = hits.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("p")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
-    of = _small(windows.select("key", "item").distinct(), n_prefix)
+    of = written(windows.select("key", "item").distinct(), "items")
     which = hits.select("row", "key").distinct().join(of, "key").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     out = found.where("key = ''").select("row", "doc", "n").join(covered, "row", "left").join(which, "row", "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, media, secret_scan, simhash, token_counts, url_filter
+from . import decontaminate, line_dedup, media, pieces, quality, secret_scan, simhash, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_media_columns": media.op2_media_columns,
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_piece_samples": pieces.op4_piece_samples,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_simhash": simhash.op9_simhash,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }

@@ -80,3 +80,18 @@ def ascii_lower(c: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def by_hash(df: DataFrame, at: str, n: int) -> list:
+    """Rows of ``df`` with the smallest values of the 64-bit hash ``at``: ``n`` at most, one for each value.
+
+    A cut by the hash comes first, so that tasks send little more than ``n`` rows
+    altogether to the driver, however many tasks and repeated rows there are.
+    """
+    total = df.count()
+    if not total or n <= 0:
+        return []
+    share = min(1.0, 1.25 * n / total + 200 / total)
+    cut = min(int(share * 2**64) - 2**63, 2**63 - 1)
+    rows = df.where(col(at) <= F.lit(cut)).dropDuplicates([at]).collect()
+    return sorted(rows, key=lambda r: r[at])[:n]

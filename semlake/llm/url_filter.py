@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, table, written
+from ._common import by_hash, col, table, written
 
 #: (verdict, host, path prefix): fixed values of the query's contract.
 RULES = (
@@ -149,9 +149,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     suffixes = written(suffixes.select("suffix", "suffix_n", ((F.col("blocked") + 1) / (F.col("suffix_n") + 2)).alias("suffix_rate")), "suffixes")
     rows = rows.join(suffixes, "suffix", "left").na.fill({"suffix_n": 0.0, "suffix_rate": 0.5})
 
-    labelled = rows.where(F.col("said").isNotNull()).select("at", *FEATURES, block.alias("block")).orderBy("at", *FEATURES).limit(sample).toPandas()
-    if len(labelled):
-        trees = fit(labelled[list(FEATURES)].to_numpy(), labelled["block"].to_numpy())
+    labelled = by_hash(rows.where(F.col("said").isNotNull()).select("at", *FEATURES, block.alias("block")), "at", sample)
+    if labelled:
+        trees = fit([[r[f] for f in FEATURES] for r in labelled], [r["block"] for r in labelled])
         score = trees.score(F.col)
     else:
         score = F.lit(0.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, media, pieces, quality, secret_scan, simhash, token_counts, url_filter
+from . import chat, decontaminate, line_dedup, media, pieces, quality, secret_scan, simhash, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_piece_samples": pieces.op4_piece_samples,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_chat_format": chat.op6_chat_format,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_simhash": simhash.op9_simhash,

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, col, table, written
+from ._common import ascii_lower, col, fresh, keys, table, written
 
 #: Runs of what is no word; A-Z are letters here, as they are lower-cased later, word by word.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -36,22 +36,15 @@ def _blocks(df: DataFrame, by: str) -> list[DataFrame]:
     return [F.broadcast(df.where(F.pmod(F.xxhash64(by), F.lit(n)) == i) if n > 1 else df) for i in range(max(n, 1))]
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8, at_least: int = 2) -> DataFrame:
-    """For each row of ``docs``: its id, n_words, n_hit, n_items, items (sorted
-    array of item ids as strings), contaminated (n_items >= ``at_least``).
-
-    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. An
-    item of fewer than ``size`` words, but not none, is one window. Null and
-    empty texts have no words and no hit; items without words or with a null id
-    occur nowhere. Repeated rows of ``docs`` each get a row of their own; item
-    ids repeated in ``items`` count once. Other columns are not looked at.
-    """
+def _judged(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8) -> DataFrame:
+    """Each row's key (a, b), doc, n, n_hit, items."""
     bench = items.select(col(item_col).cast("string").alias("item"), F.transform(_words(col(item_text_col)), ascii_lower).alias("w"))
     bench = bench.where(F.col("item").isNotNull() & (F.size("w") > 0))
     spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1))), lambda i: F.slice("w", i, size))
     windows = written(bench.select("item", F.explode(spans).alias("win")).withColumn("key", F.sha2(F.to_json("win"), 256)), "windows")
 
-    texts = docs.select(col(id_col).alias("doc"), _words(col(text_col)).alias("words"))
+    a, b = keys(col(id_col), col(text_col))
+    texts = docs.select(col(id_col).alias("doc"), a.alias("a"), b.alias("b"), _words(col(text_col)).alias("words"))
     vocabulary = written(windows.select(F.explode("win").alias("word")).distinct(), "vocabulary")
     seen = texts.select(F.explode_outer("words").alias("raw")).select(ascii_lower(F.col("raw")).alias("word"))
     counts = [seen.join(block, "word").groupBy("word").agg(F.count(F.lit(1)).alias("df")) for block in _blocks(vocabulary, "word")]
@@ -65,25 +58,48 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     # one more entry of each document that always matches and carries its length; no word is like it
     mark = " "
     always = docs.sparkSession.range(1).select(F.lit("").alias("key"), F.lit(mark).alias("word"), F.lit(1).alias("off"), F.lit(0).alias("len"), F.lit("").alias("said"))
-    places = texts.select(F.monotonically_increasing_id().alias("row"), "doc", F.size("words").alias("n"), "words").select("row", "doc", "n", "words", F.posexplode(F.concat(F.array(F.lit(mark)), "words")).alias("at", "raw"))
+    places = texts.select(F.monotonically_increasing_id().alias("row"), "doc", "a", "b", F.size("words").alias("n"), "words").select("row", "doc", "a", "b", "n", "words", F.posexplode(F.concat(F.array(F.lit(mark)), "words")).alias("at", "raw"))
     places = places.withColumn("word", ascii_lower(F.col("raw")))
     # only expressions that are compiled: join and generator then stay one loop, which copies no document's words for each of them
     start = F.col("at") - 1 - F.col("off")
     around = ascii_lower(F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("len")), " "))
     fits = (start >= 0) & (start + F.col("len") <= F.col("n")) & (around == F.col("said"))
-    found = [places.join(F.broadcast(block.unionByName(always)) if i == 0 else block, "word").where((F.col("key") == "") | fits).select("row", "doc", "n", "key", start.alias("start"), "len") for i, block in enumerate(_blocks(prefix, "key"))]
+    found = [places.join(F.broadcast(block.unionByName(always)) if i == 0 else block, "word").where((F.col("key") == "") | fits).select("row", "doc", "a", "b", "n", "key", start.alias("start"), "len") for i, block in enumerate(_blocks(prefix, "key"))]
     found = written(reduce(DataFrame.unionByName, found), "found")
 
     hits = found.where("key <> ''")
     covered = hits.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("p")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
     of = written(windows.select("key", "item").distinct(), "items")
     which = hits.select("row", "key").distinct().join(of, "key").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    out = found.where("key = ''").select("row", "doc", "n").join(covered, "row", "left").join(which, "row", "left")
-    items_of = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(
-        F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(items_of).cast("long").alias("n_items"), items_of.alias("items"), (F.size(items_of) >= at_least).alias("contaminated"),
-    )
+    out = found.where("key = ''").select("row", "a", "b", "doc", "n").join(covered, "row", "left").join(which, "row", "left")
+    return out.select("a", "b", "doc", "n", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8, at_least: int = 2) -> DataFrame:
+    """For each row of ``docs``: its id, n_words, n_hit, n_items, items (sorted
+    array of item ids as strings), contaminated (n_items >= ``at_least``).
+
+    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. An
+    item of fewer than ``size`` words, but not none, is one window. Null and
+    empty texts have no words and no hit; items without words or with a null id
+    occur nowhere. Repeated rows of ``docs`` each get a row of their own; item
+    ids repeated in ``items`` count once. Other columns are not looked at.
+    """
+    out = _judged(docs, items, id_col, text_col, item_col, item_text_col, size)
+    n_items = F.size("items")
+    return out.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), n_items.cast("long").alias("n_items"), "items", (n_items >= at_least).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8, at_least: int = 1) -> DataFrame:
+    """``docs`` without the rows in which windows of ``at_least`` items occur, all columns under their names.
+
+    A row is known by its id and text, so rows that share an id are judged each on
+    its own text. Nulls and short texts are as in ``contamination``.
+    """
+    bad = written(_judged(docs, items, id_col, text_col, item_col, item_text_col, size).where(F.size("items") >= at_least).select("a", "b").distinct(), "contaminated")
+    k1, k2 = fresh(docs, "k1", "k2")
+    a, b = keys(col(id_col), col(text_col))
+    return docs.withColumn(k1, a).withColumn(k2, b).join(bad.withColumnsRenamed({"a": k1, "b": k2}), [k1, k2], "left_anti").drop(k1, k2)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in found], pa.list_(pa.int32()))], ["at", "features"])
 
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(at,) for at in chosen], "at long"))
-    described = rows.join(wanted, "at").select("at", "text").mapInArrow(describing, "at long, features array<int>")
+    described = rows.join(wanted, "at").select("at", "text").dropDuplicates(["at"]).mapInArrow(describing, "at long, features array<int>")
     import numpy as np
 
     features = {r["at"]: np.array(r["features"], np.int64) for r in described.toLocalIterator()}

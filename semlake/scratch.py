@@ -6,11 +6,15 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary folder, for the life of the session."""
+    """The cluster's ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary folder, for the life of the application."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="semlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="semlake-")
+        found = _OWN[app]
     return found.rstrip("/")

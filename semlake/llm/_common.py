@@ -3,26 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
+from ..scratch import shared_dir
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset (local
-    tests) a temporary folder takes its place, for the life of the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="semlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Rows of a batch of texts.
+TEXT_ROWS = 1000
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -67,6 +57,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` for rows that hold whole texts.
+
+    Rows go to Python in batches; the session's batch size is lowered to ``TEXT_ROWS``
+    if it is larger, as a batch of long texts is in memory several times over.
+    """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(size)) <= TEXT_ROWS:
+        conf.set(size, str(TEXT_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def keys(*of: Column) -> list[Column]:
     """Two independent 64-bit hashes: a 128-bit key, for equality at any size."""
     return [F.xxhash64(*of), F.xxhash64(F.lit("b"), *reversed(of))]

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import col, table, written
+from ._common import col, map_texts, table, written
 
 STATES = ("system", "user", "assistant")
 #: Rows of a stretch at most.
@@ -70,7 +70,7 @@ def ordered(turns: DataFrame, conv_col: str, order_col: str, text_col: str, role
                 i += 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stretches, pa.int64()), pa.array(places, pa.int32())], [*batch.schema.names, "stretch", "i"])
 
-    return written(rows.mapInArrow(number, shape + ", stretch long, i int"), "turns")
+    return written(map_texts(rows, number, shape + ", stretch long, i int"), "turns")
 
 
 def learn(rows: DataFrame, states=STATES) -> dict:
@@ -190,7 +190,7 @@ def recover(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "turn"
             m = matrix(model, emitted, t.column("opens")[0].as_py())
             yield pa.RecordBatch.from_arrays([t.column("conv").slice(0, 1).combine_chunks(), pa.array([t.column("stretch")[0].as_py()]), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], ["conv", "stretch", "m"])
 
-    reduced = written(sort(long).mapInArrow(reduce, f"conv {kind}, stretch long, m array<double>"), "matrices")
+    reduced = written(map_texts(sort(long), reduce, f"conv {kind}, stretch long, m array<double>"), "matrices")
 
     def chain(pdf):
         import numpy as np
@@ -228,7 +228,7 @@ def recover(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "turn"
             for b in t.select(["conv", "turn", "text"]).append_column("role", pa.array([STATES[s] for s in path], pa.string())).to_batches():
                 yield b
 
-    out = sort(placed).mapInArrow(decode, f"conv {kind}, turn {order}, text string, role string")
+    out = map_texts(sort(placed), decode, f"conv {kind}, turn {order}, text string, role string")
     said = F.coalesce("text", F.lit(""))
     for _, pattern in MARKERS:
         said = F.when(F.coalesce("text", F.lit("")).rlike(pattern), F.regexp_replace(F.coalesce("text", F.lit("")), pattern, "")).otherwise(said)

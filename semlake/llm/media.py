@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, table, written
+from ._common import col, map_texts, table, written
 
 WIDTH = 24
 #: Bytes that a payload is padded to a multiple of.
@@ -130,7 +130,7 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
             found = pa.array([sequence(h) for h in batch.column(1).to_pylist()], pa.list_(item))
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc", "items"])
 
-    return rows.mapInArrow(run, f"doc {kind}, items array<{ITEM}>")
+    return map_texts(rows, run, f"doc {kind}, items array<{ITEM}>")
 
 
 def store(payloads: DataFrame, data_col: str = "data") -> DataFrame:
@@ -153,7 +153,7 @@ def store(payloads: DataFrame, data_col: str = "data") -> DataFrame:
                 held.setdefault(sha256(payload).hexdigest(), payload)
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([to_pgm(p) for p in held.values()], pa.binary())], ["digest", "media"])
 
-    return written(rows.mapInArrow(run, "digest string, media binary"), "media")
+    return written(map_texts(rows, run, "digest string, media binary"), "media")
 
 
 def inspect(media: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def inspect(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     shape = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return written(media.mapInArrow(run, shape).dropDuplicates(["digest"]), "inspected")
+    return written(map_texts(media, run, shape).dropDuplicates(["digest"]), "inspected")
 
 
 def resolve(seqs: DataFrame, found: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def reference(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 html.append(f'<figure><img src="sha256:{sha256(payload_of(data)).hexdigest()}"><figcaption>{len(data)}</figcaption></figure>')
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(html, pa.string())], ["doc", "n_bytes", "html"])
 
-    return rows.mapInArrow(run, f"doc {kind}, n_bytes long, html string")
+    return map_texts(rows, run, f"doc {kind}, n_bytes long, html string")
 
 
 def op2_media_columns(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, fresh, table, written
+from ._common import col, fresh, map_texts, table, written
 from ._graph import components
 
 #: Fingerprints of a bucket up to which its pairs are compared.
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(col(id_col).alias("doc"), col(text_col).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprinter(shingle), f"doc {kind}, fp long")
+    return map_texts(rows, _fingerprinter(shingle), f"doc {kind}, fp long")
 
 
 def links(found: DataFrame, radius: int) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import col, table, written
+from ._common import col, map_texts, table, written
 
 #: A folder of vocabularies; byte_bpe_50k.tiktoken is read from it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -52,7 +52,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc", "n_tokens"])
 
-    return rows.mapInArrow(run, f"doc {kind}, n_tokens long")
+    return map_texts(rows, run, f"doc {kind}, n_tokens long")
 
 
 def histogram(counts: DataFrame) -> DataFrame:

@@ -13,20 +13,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_hash, col, keys, table, written
+from ._common import by_hash, col, keys, map_texts, table, written
 
 BITS = 17
 #: Bytes of a word's start that is a feature besides the word.
 PREFIX = 6
 #: Documents that the scorers are trained on at most: annotated ones first, by hash. All documents count for the labellers.
 SAMPLE = 8_000
+#: Share of a heuristic's bad votes that are right at least; keeps kinds of junk with few votes in common together.
+LEAST = 0.9
 #: Share of an annotator's votes that are wrong at most.
 WRONG = 0.005
 EPOCHS = 4
-#: Learning rates: rare words must count for more where toxic ones are sought.
-RATES = {"junk": 0.3, "toxic": 0.8}
 AXES = ("junk", "toxic")
-JUNK = ("symbols", "shouting", "one word", "marks", "letters", "repeats", "runs", "plain", "annotator")
+JUNK = ("symbols", "shouting", "one word", "marks", "letters", "repeats", "runs", "annotator")
 TOXIC = ("insults", "annotator")
 # Common English insults.
 INSULTS = frozenset(
@@ -82,9 +82,7 @@ def votes(text: bytes, shape: dict | None = None) -> tuple[str, str]:
     if not s["n"]:
         return "0" * (len(JUNK) - 1), "0" * (len(TOXIC) - 1)
 
-    # a sign that is missing says little, so most labellers only ever vote bad; one votes good on texts plain in every way
-    plain = s["n"] >= 10 and s["symbols"] <= 0.05 and s["upper"] <= 0.15 and s["top"] <= 0.15 and s["marks"] <= 0.05 and s["runs"] <= 0.02 and s["letters"] >= 0.7
-    junk = "".join("-" if x else "0" for x in signs(s)) + ("+" if plain else "0")
+    junk = "".join("-" if x else "0" for x in signs(s))
     toxic = "-" if lowered(s["words"]) & INSULTS else "0"
     return junk, toxic
 
@@ -114,7 +112,7 @@ def estimate(patterns: dict[str, int], trusted: tuple[int, ...] = (), rounds: in
 
     The start says that labellers vote bad on bad texts far more often than on good ones,
     which fixes which class is which. The ``trusted`` labellers are held to be wrong
-    in ``WRONG`` of their votes at most. Without a pattern the share is 0.
+    in ``WRONG`` of their votes at most, the others to be right in ``LEAST`` of their bad votes. Without a pattern the share is 0.
     """
     k = max(map(len, patterns), default=0)
     rates = [{"-": (0.5, 0.01), "+": (0.1, 0.6), "0": (0.4, 0.39)} for _ in range(k)]
@@ -134,6 +132,10 @@ def estimate(patterns: dict[str, int], trusted: tuple[int, ...] = (), rounds: in
                     voted = of[right][c] + of[wrong][c]
                     of[wrong][c] = min(of[wrong][c], WRONG * voted)
                     of[right][c] = voted - of[wrong][c]
+            else:
+                said = sum(of["-"])
+                of["-"][1] = min(of["-"][1], (1 - LEAST) * said)
+                of["-"][0] = said - of["-"][1]
             rates[j] = {v: (of[v][0] / (n_bad + 1.5), of[v][1] / (n_good + 1.5)) for v in "-+0"}
     return prior, rates
 
@@ -149,7 +151,7 @@ def posterior(pattern: str, prior: float, rates: list[dict]) -> float:
     return 1 / (1 + exp(-max(min(z, 30), -30)))
 
 
-def train(features: list, target: list[float], epochs: int = EPOCHS, alpha: float = 0.3, l1: float = 1.0, l2: float = 1.0):
+def train(features: list, target: list[float], epochs: int = EPOCHS, alpha: float = 0.4, l1: float = 1.0, l2: float = 1.0):
     """Weights of a sparse logistic scorer (per-coordinate FTRL-proximal), the last one the constant."""
     import numpy as np
 
@@ -200,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
             found = [votes(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([v[i] for v in found], pa.string()) for i in (0, 1)]], ["doc", "at", *AXES])
 
-    voted = written(rows.mapInArrow(voting, f"doc {kind}, at long, junk string, toxic string"), "votes")
+    voted = written(map_texts(rows, voting, f"doc {kind}, at long, junk string, toxic string"), "votes")
     said = {"junk": F.lit("0"), "toxic": F.lit("0")}
     if labels is not None:
         known = labels.select(col(id_col).alias("doc"), F.col("quality"), F.col("toxic").alias("is_toxic")).where("doc is not null").groupBy("doc").agg(F.min("quality").alias("quality"), F.max("is_toxic").alias("is_toxic"))
@@ -229,14 +231,14 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in found], pa.list_(pa.int32()))], ["at", "features"])
 
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(at,) for at in chosen], "at long"))
-    described = rows.join(wanted, "at").select("at", "text").dropDuplicates(["at"]).mapInArrow(describing, "at long, features array<int>")
+    described = map_texts(rows.join(wanted, "at").select("at", "text").dropDuplicates(["at"]), describing, "at long, features array<int>")
     import numpy as np
 
     features = {r["at"]: np.array(r["features"], np.int64) for r in described.toLocalIterator()}
     order = sorted(at for at in chosen if at in features)
     weights = {}
     for a in AXES:
-        weights[a] = train([features[at] for at in order], [posterior(chosen[at][a], *models[a]) for at in order], alpha=RATES[a])
+        weights[a] = train([features[at] for at in order], [posterior(chosen[at][a], *models[a]) for at in order])
     return Scorer(weights, models)
 
 
@@ -255,7 +257,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
             found = [scorer(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[i] for x in found], pa.float64()) for i in (0, 1)], pa.array([max(x) <= 0 for x in found], pa.bool_())], ["doc", "junk", "toxic", "keep"])
 
-    return rows.mapInArrow(scoring, f"doc {kind}, junk double, toxic double, keep boolean").withColumnRenamed("doc", id_col)
+    return map_texts(rows, scoring, f"doc {kind}, junk double, toxic double, keep boolean").withColumnRenamed("doc", id_col)
 
 
 def keep_good(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
@@ -269,7 +271,8 @@ def keep_good(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFr
             kept = [max(scorer(t or b"")) <= 0 for t in batch.column(place).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(keeping, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots can't pass otherwise
+    return map_texts(plain, keeping, plain.schema).toDF(*docs.columns)
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import Compiler, FunctionRegistry, registry
 from ..operators import solutions as S
-from ..sparql.ast import Iri, OrderKey, QuerySpec, Var
+from ..sparql.ast import RDF_TYPE, Iri, OrderKey, QuerySpec, Triple, Var
 from ..sparql.parser import pattern_vars
 from . import algebra as A
 from . import stars as stars_
@@ -40,6 +40,21 @@ class PatternCompiler:
             return S.Solutions(s.df.where(self.conditions(node.exprs, s.terms)), s.terms)
         raise TypeError(node)
 
+    def classes(self, q: QuerySpec) -> S.Solutions | None:
+        """``SELECT DISTINCT ?c { ?s a ?c }`` asks only which classes have a subject at all."""
+        parts = q.where.parts
+        if not (q.form == "SELECT" and q.distinct and len(parts) == 1 and isinstance(parts[0], Triple)):
+            return None
+        t = parts[0]
+        plain = isinstance(t.s, Var) and t.p == Iri(RDF_TYPE) and isinstance(t.o, Var) and t.s != t.o
+        if not plain or q.variables != [t.o.name]:
+            return None
+        found = self.planner.class_list(t.o.name)
+        if found is None:
+            return None
+        self.trace.append(f"classes of {len(found.names)} maps, one row of each")
+        return S.Solutions(found.make(), found.terms)
+
     def conditions(self, exprs, terms) -> Column | None:
         out = None
         for e in exprs:
@@ -88,7 +103,7 @@ def order_columns(keys: list[OrderKey], terms: dict[str, T.Term], functions: Fun
 def compile_query(spark: SparkSession, catalog: Catalog, q: QuerySpec, functions: FunctionRegistry = registry) -> tuple[DataFrame, list[str], list[str]]:
     """(frame, variables, trace) of a query."""
     compiler = PatternCompiler(spark, catalog, functions)
-    s = compiler.pattern(A.translate(q.where))
+    s = compiler.classes(q) or compiler.pattern(A.translate(q.where))
     if q.form == "ASK":
         return s.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("result")), ["result"], compiler.trace
     if q.form == "CONSTRUCT":

@@ -47,6 +47,8 @@ class Scan:
         self.types: dict[str, str] = {}
         self.out: list[str] = []
         self.empty = False
+        self.key: tuple = ()
+        self.classes: set[str] = set(tm.classes)
         self.subject = self.term(tm.subject)
         self.guard(self.subject)
 
@@ -267,18 +269,21 @@ class Planner:
         for t, offer in zip(triples, picks):
             tm = self.catalog.maps[offer.map]
             predicate = RDF_TYPE if offer.index is None else tm.objects[offer.index].predicate
+            # maps of one table share a scan if the subject tells its rows apart
+            rows = (tm.owner, tm.source, tm.subject.how, tm.subject.value) if tm.unique else (offer.map,)
             # a predicate asked twice pairs all its values, so it is read twice
-            at = used.get((offer.map, predicate), 0)
-            used[offer.map, predicate] = at + 1
-            place = next((i for i, (scan, _, _) in enumerate(parts) if scan.tm.name == offer.map and getattr(scan, "nth", 0) == at), None)
+            at = used.get((rows, predicate), 0)
+            used[rows, predicate] = at + 1
+            place = next((i for i, (scan, _, _) in enumerate(parts) if scan.key == (rows, at)), None)
             if place is None:
                 scan = self.scan(offer.map)
-                scan.nth = at
+                scan.key, scan.classes = (rows, at), set()
                 terms: dict[str, T.Term] = {}
                 _match(scan, scan.subject, s, terms)
                 parts.append((scan, terms, scan.subject))
                 place = len(parts) - 1
             scan, terms, _ = parts[place]
+            scan.classes.update(tm.classes)
             if isinstance(t.p, Var):
                 _match(scan, T.Term("iri", (scan.made(F.lit(predicate), "string"),), ("string",), ("", "")), t.p, terms)
             if offer.index is None:
@@ -296,7 +301,7 @@ class Planner:
         # classes: of a map that is read anyway, or looked up in the others
         checks: list[str] = []
         for t in fixed_types:
-            have = {c for scan, _, _ in parts for c in scan.tm.classes}
+            have = {c for scan, _, _ in parts for c in scan.classes}
             if isinstance(t.o, Iri):
                 if t.o.value not in have:
                     checks.append(t.o.value)
@@ -395,6 +400,35 @@ class Planner:
             raise PlanError("several class variables of one subject")
         return out
 
+    def class_list(self, name: str) -> Alternative | None:
+        """Every class that has a subject, once for each source: one row of each map tells.
+
+        Answers ``SELECT DISTINCT ?c { ?s a ?c }`` without reading more.
+        """
+        from ..rml.model import LogicalSource
+
+        out = fresh()
+        frames = []
+        for map_name, tm in self.catalog.maps.items():
+            if any(po.predicate == RDF_TYPE for po in tm.objects):
+                return None
+            if tm.classes:
+                one = self.scan(map_name).frame().limit(1)
+                frames.append(one.select(F.explode(F.array(*map(F.lit, tm.classes))).alias(out)))
+        for source in self.catalog.rdf_sources():
+            triples = self.rows(source, LogicalSource(source.name))
+            frames.append(triples.where((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "uri")).select(F.col("o").alias(out)).distinct())
+        if not frames:
+            return None
+
+        def make() -> DataFrame:
+            df = frames[0]
+            for f in frames[1:]:
+                df = df.unionByName(f)
+            return df
+
+        return Alternative({name: T.Term("iri", (out,), ("string",), ("", ""))}, make, tuple(self.catalog.maps))
+
     # RDF sources
 
     def of_triples(self, triples: list[Triple], source: SourceSpec) -> Alternative:
@@ -516,7 +550,8 @@ class _Ready:
 
     def __init__(self, alternative: Alternative):
         self.alternative = alternative
-        self.tm = TriplesMap("", None, None)
+        self.key: tuple = ()
+        self.classes: set[str] = set()
 
     def frame(self) -> DataFrame:
         return self.alternative.make()

@@ -308,7 +308,7 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "source_constant_object": (source_constant_object, f"select {REGION} r, 'continent' k, 'http://ex.org/earth' p from region"),
     "group_collect_set": (group_collect_set, f"select {iri('customer', 'o_custkey')} c from orders where o_orderpriority in ('1-URGENT', '5-LOW') group by o_custkey having count(distinct o_orderpriority) = 2"),
     "property_graph_hop": (property_graph_hop, "select 'http://ex.org/node/c' || c_custkey c, n_name n from customer join nation on c_nationkey = n_nationkey where c_name = 'Customer#000000011'"),
-    "catalog_classes": (catalog_classes, "select * from (values " + ", ".join(f"('{EX}{c}', {n})" for c, n in _CLASSES) + ") t(class, predicates)"),
+    "catalog_classes": (catalog_classes, "select * from (values " + ", ".join(f"('{EX}{c}', cast({n} as bigint))" for c, n in _CLASSES) + ") t(class, predicates)"),
     "catalog_links": (catalog_links, "select * from (values " + ", ".join(f"('{EX}{a}', '{EX}{p}', '{EX}{b}')" for a, p, b in _LINKS) + ') t(class, predicate, "to")'),
     "catalog_statistics": (catalog_statistics, f"select '{EX}Region' class, '{EX}name' predicate, count(*) triples from region union all select '{EX}Nation', '{EX}name', count(*) from nation union all select '{EX}Nation', '{EX}inRegion', count(*) from nation union all select '{EX}Document', '{EX}quality', count(quality) from labels union all select '{EX}Document', '{EX}toxic', count(toxic) from labels"),
     "triples_molecules": (triples_molecules, f"select * from (values ('{EX}Nation', '{EX}name', null), ('{EX}Nation', '{EX}inRegion', '{EX}Region')) t(class, predicate, range)"),

@@ -168,3 +168,42 @@ def test_stream_join_of_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r)[0::3] for r in spark.sql("select * from pairs").collect()] == [(1, "x")]
+
+
+def test_maps_of_one_table_share_a_scan(spark):
+    people = spark.createDataFrame(PEOPLE, "id int, name string, boss int, age int")
+
+    def ask(unique):
+        maps = [TriplesMap(p, LogicalSource("mem", table="people"), TermMap("template", B + "p/{id}", "iri"), (B + p,), [PredicateObject(B + p, ref(p))], unique) for p in ("name", "age")]
+        e = Engine(spark, Catalog([SourceSpec("mem", "memory", frames={"people": people})], maps))
+        return e.query(f"SELECT ?p ?n ?a {{ ?p a <{B}age> ; <{B}name> ?n ; <{B}age> ?a }}").df
+
+    once, joined = ask(True), ask(False)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, joined.collect())) and once.count() == 3
+    assert "Join" not in once._jdf.queryExecution().optimizedPlan().toString() and "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_strict_maps_and_class_lists(spark):
+    twice = spark.createDataFrame([(1, "a"), (1, "a")], "id int, v string")
+    for strict, n in ((False, 2), (True, 1)):
+        tm = TriplesMap("t", LogicalSource("mem", table="t"), TermMap("template", B + "t/{id}", "iri"), (B + "T",), [PredicateObject(B + "v", ref("v"))], strict=strict)
+        empty = TriplesMap("e", LogicalSource("mem", table="e"), TermMap("template", B + "e/{id}", "iri"), (B + "E",), [PredicateObject(B + "w", ref("v"))])
+        e = Engine(spark, Catalog([SourceSpec("mem", "memory", frames={"t": twice, "e": twice.limit(0)})], [tm, empty]))
+        assert e.query(f"SELECT ?t {{ ?t <{B}v> ?v }}").df.count() == n
+        assert [r.c for r in e.query("SELECT DISTINCT ?c { ?s a ?c }").df.collect()] == [B + "T"]
+
+
+def test_browsing_and_shapes(spark, tmp_path):
+    from semlake.sources import graph, registry
+
+    people = spark.createDataFrame(PEOPLE, "id int, name string, boss int, age int")
+    people.write.parquet(str(tmp_path / "people.parquet"))
+    source = SourceSpec("files", "parquet", str(tmp_path))
+    ls = LogicalSource("files", table="people")
+    assert registry.tables(spark, source) == ["people.parquet"] and registry.browse(spark, source, ls, 2).count() == 2
+    assert [tuple(r) for r in registry.sizes(spark, source, [ls]).collect()] == [("files", "people", 4)]
+    pairs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (1, "a")], "k int, v string")
+    assert [r.k for r in graph.having_all(pairs, "k", "v", ["a", "b"]).collect()] == [1]
+    assert sorted(len(r["values"]) for r in graph.collected(pairs, "k", "v").collect()) == [1, 3]
+    with pytest.raises(ValueError):
+        registry.load(spark, SourceSpec("x", "nonsense"), ls)

@@ -83,8 +83,27 @@ def _merged(df: DataFrame, left: Solutions, right: Solutions, outer: bool) -> So
     return Solutions(df.select(*map(T.column, keep), *made) if keep or made else df.select(F.lit(1).alias(fresh())), terms)
 
 
+def _halves(s: Solutions, v: str) -> list[Solutions]:
+    """The solutions that bind a variable, for which it is certain then, and the others, which lack it."""
+    there = T.bound(s.terms[v])
+    others = {n: t for n, t in s.terms.items() if n != v}
+    return [Solutions(s.df.where(there), {**s.terms, v: replace(s.terms[v], certain=True)}), Solutions(s.df.where(~there), others)]
+
+
+def _uncertain(left: Solutions, right: Solutions, of: Solutions) -> str | None:
+    return next((v for v in left.terms if v in right.terms and not of.terms[v].certain), None)
+
+
 def join(left: Solutions, right: Solutions) -> Solutions:
-    """Natural join on shared variables; without any, all pairs."""
+    """Natural join on shared variables; without any, all pairs.
+
+    A side that may lack a shared variable is taken apart into the solutions that have
+    it and those that do not: each part is an equi-join again.
+    """
+    if (v := _uncertain(left, right, left)) is not None:
+        return union([join(part, right) for part in _halves(left, v)])
+    if (v := _uncertain(left, right, right)) is not None:
+        return union([join(left, part) for part in _halves(right, v)])
     condition, possible = compatible(left, right)
     if not possible:
         return nothing(left.df.sparkSession, dict.fromkeys([*left.terms, *right.terms]))
@@ -93,12 +112,17 @@ def join(left: Solutions, right: Solutions) -> Solutions:
 
 
 def left_join(left: Solutions, right: Solutions, condition_of) -> Solutions:
-    """OPTIONAL: ``condition_of(terms)`` makes further conditions on the pair, or None."""
+    """OPTIONAL: ``condition_of(terms)`` makes further conditions on the pair, or None.
+
+    Solutions of the left that have a shared variable, and those that lack it, are joined
+    apart; only where the right may lack one the condition is no equality.
+    """
+    if (v := _uncertain(left, right, left)) is not None:
+        return union([left_join(part, right, condition_of) for part in _halves(left, v)])
     condition, possible = compatible(left, right)
     if not possible:
         return left
-    # a shared variable that the left may lack has the right's value here
-    more = condition_of({**right.terms, **{v: t for v, t in left.terms.items() if t.certain or v not in right.terms}})
+    more = condition_of({**right.terms, **left.terms})
     condition = _all([c for c in (condition, more) if c is not None])
     if condition is None:
         condition = F.lit(True)

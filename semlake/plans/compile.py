@@ -66,7 +66,7 @@ class PatternCompiler:
         stars = [self.planner.star(ts) for ts in A.stars(node.triples)]
         before = [len(s.alternatives) for s in stars]
         stars_.prune(stars)
-        stars = stars_.ordered(stars)
+        stars = stars_.ordered(stars, stars_.estimated_bytes)
         for s in stars:
             self.trace.append(f"star of {s.triples[0].s}: {len(s.triples)} triples over {' | '.join('+'.join(a.names) for a in s.alternatives) or 'nothing'}")
         self.trace.append(f"{sum(before)} alternatives, {sum(len(s.alternatives) for s in stars)} after pruning")
@@ -75,7 +75,7 @@ class PatternCompiler:
             return S.nothing(self.spark, names)
         out = None
         for star in stars:
-            one = S.union([S.Solutions(a.make(), a.terms) for a in star.alternatives])
+            one = S.union([S.Solutions(a.frame(), a.terms) for a in star.alternatives])
             out = one if out is None else S.join(out, one)
         return out
 

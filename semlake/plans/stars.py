@@ -139,6 +139,13 @@ class Alternative:
     make: Callable[[], DataFrame]
     names: tuple[str, ...] = ()
     filters: int = 0
+    made: DataFrame | None = None
+    subject: T.Term | None = None
+
+    def frame(self) -> DataFrame:
+        if self.made is None:
+            self.made = self.make()
+        return self.made
 
 
 @dataclass
@@ -247,7 +254,7 @@ class Planner:
             if not self.offers(t, names):
                 return []
         if not others:
-            return [self.types_only(fixed_types, names)]
+            return [a for a in [self.types_only(fixed_types, names)] if a is not None]
         complete = set(names).intersection(*({o.map for o in offers} for offers in per))
         if complete:
             picks = [p for name in sorted(complete, key=names.index) for p in itertools.product(*([o for o in offers if o.map == name] for offers in per))]
@@ -312,7 +319,9 @@ class Planner:
                     c = F.explode(F.array(*map(F.lit, sorted(have)))) if len(have) > 1 else F.lit(next(iter(have)))
                     _match(scan, T.Term("iri", (scan.made(c, "string"),), ("string",), ("", "")), t.o, terms)
                 else:
-                    found = self.types_only([Triple(s, t.p, t.o)], names)
+                    found = self.one_type(t, names)
+                    if found is None:
+                        return None
                     parts.append((_Ready(found), dict(found.terms), found.subject))
             else:
                 return None
@@ -347,36 +356,64 @@ class Planner:
                     on = on & c
                 df = df.join(one, on)
             for c in checks:
-                found = self.types_only([Triple(Var("~s"), Iri(RDF_TYPE), Iri(c))], names)
-                df = df.join(found.make(), T.equal(parts[0][2], found.terms["~s"]), "left_semi")
+                found = self.one_type(Triple(Var("~s"), Iri(RDF_TYPE), Iri(c)), names)
+                df = df.join(found.make(), T.equal(parts[0][2], found.subject), "left_semi")
             return df.select(*dict.fromkeys(c for t in terms.values() for c in t.cols)) if terms else df.select(F.lit(1).alias(fresh()))
 
         return Alternative(terms, make, tuple(sorted({p.map for p in picks})), filters)
 
-    def types_only(self, types: list[Triple], names: list[str]) -> Alternative:
+    def types_only(self, types: list[Triple], names: list[str]) -> Alternative | None:
         """A star of classes only: each subject once for each class, though several maps have it."""
         s = types[0].s
-        wanted = [t.o for t in types]
-        first, rest = wanted[0], wanted[1:]
+        out = self.one_type(types[0], names)
+        for t in types[1:]:
+            other = self.one_type(t, names)
+            if out is None or other is None:
+                return None
+            out = self.both_types(s, out, other)
+        return out
+
+    @staticmethod
+    def both_types(s, out: Alternative, other: Alternative) -> Alternative | None:
+        """Subjects of both, with the variables of both."""
+        terms = dict(out.terms)
+        conditions = [T.equal(out.subject, other.subject)]
+        for v, term in other.terms.items():
+            if v not in terms:
+                terms[v] = term
+            elif not (isinstance(s, Var) and v == s.name):
+                conditions.append(T.equal(terms[v], term))
+        if any(c is None for c in conditions):
+            return None
+        how = "inner" if len(terms) > len(out.terms) else "left_semi"
+
+        def make() -> DataFrame:
+            on = conditions[0]
+            for c in conditions[1:]:
+                on = on & c
+            return out.make().join(other.make(), on, how)
+
+        return Alternative(terms, make, out.names, out.filters, subject=out.subject)
+
+    def one_type(self, t: Triple, names: list[str]) -> Alternative | None:
+        s, wanted = t.s, t.o
         parts = []
         for name in names:
             tm = self.catalog.maps[name]
-            classes = [c for c in tm.classes if isinstance(first, Var) or c == first.value]
+            classes = [c for c in tm.classes if isinstance(wanted, Var) or isinstance(wanted, Iri) and c == wanted.value]
             if not classes:
                 continue
             scan = self.scan(name)
             terms: dict[str, T.Term] = {}
             _match(scan, scan.subject, s, terms)
-            if scan.empty:
-                continue
-            if isinstance(first, Var):
+            if isinstance(wanted, Var):
                 c = F.lit(classes[0]) if len(classes) == 1 else F.explode(F.array(*map(F.lit, classes)))
-                _match(scan, T.Term("iri", (scan.made(c, "string"),), ("string",), ("", "")), first, terms)
-            parts.append((scan, terms))
+                _match(scan, T.Term("iri", (scan.made(c, "string"),), ("string",), ("", "")), wanted, terms)
+            if not scan.empty:
+                parts.append((scan, terms))
         if not parts:
             return None
-        subject = T.unified([scan.subject for scan, _ in parts])
-        forms = {"~subject": subject} | {v: T.unified([t[v] for _, t in parts]) for v in parts[0][1]}
+        forms = {"~subject": T.unified([scan.subject for scan, _ in parts])} | {v: T.unified([t[v] for _, t in parts]) for v in parts[0][1]}
         named = {v: replace(f, cols=tuple(fresh() for _ in f.types)) for v, f in forms.items()}
 
         def make() -> DataFrame:
@@ -387,18 +424,10 @@ class Planner:
             df = frames[0]
             for f in frames[1:]:
                 df = df.unionByName(f)
-            df = df.distinct() if len(frames) > 1 else df
-            for o in rest:
-                found = self.types_only([Triple(Var("~s"), Iri(RDF_TYPE), o)], names)
-                df = df.join(found.make(), T.equal(named["~subject"], found.terms["~s"]), "left_semi" if isinstance(o, Iri) else "inner")
-            return df
+            return df.distinct() if len(frames) > 1 else df
 
         terms = {v: t for v, t in named.items() if v != "~subject"}
-        out = Alternative(terms, make, tuple(n.tm.name for n, _ in parts), isinstance(s, Iri))
-        out.subject = named["~subject"]
-        if len(rest) and any(isinstance(o, Var) for o in rest):
-            raise PlanError("several class variables of one subject")
-        return out
+        return Alternative(terms, make, tuple(n.tm.name for n, _ in parts), int(isinstance(s, Iri)), subject=named["~subject"])
 
     def class_list(self, name: str) -> Alternative | None:
         """Every class that has a subject, once for each source: one row of each map tells.
@@ -580,15 +609,22 @@ def prune(stars: list[Star]) -> None:
                     a.alternatives, changed = kept, True
 
 
-def ordered(stars: list[Star]) -> list[Star]:
-    """Connected stars follow each other; among them those with more constants, then more triples, come first."""
+def ordered(stars: list[Star], size_of=None) -> list[Star]:
+    """Connected stars follow each other; among them those with more constants, then smaller ones, come first.
+
+    ``size_of`` estimates a star's bytes; it is asked only where there is a choice.
+    """
+    if len(stars) < 3:
+        size_of = None
+    sizes = [size_of(s) if size_of else 0 for s in stars]
     left = list(stars)
     out: list[Star] = []
     seen: set[str] = set()
 
     def worth(star: Star):
         constants = max((a.filters for a in star.alternatives), default=9)
-        return (-constants, -len(star.triples), stars.index(star))
+        at = stars.index(star)
+        return (-constants, sizes[at], -len(star.triples), at)
 
     while left:
         near = [s for s in left if s.vars() & seen] or left
@@ -597,3 +633,8 @@ def ordered(stars: list[Star]) -> list[Star]:
         seen |= best.vars()
         left.remove(best)
     return out
+
+
+def estimated_bytes(star: Star) -> int:
+    """What Spark's statistics say of the star's sources, columns pruned; no data is read."""
+    return sum(int(str(a.frame()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for a in star.alternatives)

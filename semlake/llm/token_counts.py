@@ -86,12 +86,11 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     lies between. Below all lengths every document is cut. With no document
     at all everything is 0.
     """
-    spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in sorted(set(limits))], "context long")
-    below = [F.max(F.when(F.col("n_tokens") <= x, F.struct("n_tokens", "docs_over", "tokens_over"))).alias(f"b{x}") for x in sorted(set(limits))]
+    asked = sorted({int(x) for x in limits})
+    below = [F.max(F.when(F.col("n_tokens") <= x, F.struct("n_tokens", "docs_over", "tokens_over"))).alias(f"b{x}") for x in asked]
     one = sums.agg(F.max("docs_total").alias("d"), F.max("tokens_total").alias("t"), *below)
-    pick = F.create_map(*[y for x in sorted(set(limits)) for y in (F.lit(x).cast("long"), F.col(f"b{x}"))])
-    out = asked.join(one.select("d", "t", pick.alias("m")), how="cross").withColumn("b", F.col("m")[F.col("context")])  # one row each side
+    rows = F.explode(F.array(*[F.struct(F.lit(x).cast("long").alias("context"), F.col(f"b{x}").alias("b")) for x in asked]))
+    out = one.select("d", "t", rows.alias("r")).select("d", "t", "r.context", "r.b")
     over, tokens = F.coalesce("b.docs_over", "d", F.lit(0)), F.coalesce("b.tokens_over", "t", F.lit(0))
     total = F.coalesce("t", F.lit(0))
     kept = total - tokens + F.col("context") * over

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans import terms as T
-from ..sparql.ast import XSD, Call, Iri, Literal, Var
+from ..sparql.ast import XSD, Iri, Literal, Var
 
 
 

@@ -70,7 +70,7 @@ def ordered(turns: DataFrame, conv_col: str, order_col: str, text_col: str, role
                 i += 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stretches, pa.int64()), pa.array(places, pa.int32())], [*batch.schema.names, "stretch", "i"])
 
-    return written(map_texts(rows, number, shape + ", stretch long, i int"), "turns")
+    return written(map_texts(rows, number, shape + ", stretch long, i int"), "turns", "zstd")
 
 
 def learn(rows: DataFrame, states=STATES) -> dict:

@@ -153,7 +153,7 @@ def store(payloads: DataFrame, data_col: str = "data") -> DataFrame:
                 held.setdefault(sha256(payload).hexdigest(), payload)
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([to_pgm(p) for p in held.values()], pa.binary())], ["digest", "media"])
 
-    return written(map_texts(rows, run, "digest string, media binary"), "media")
+    return written(map_texts(rows, run, "digest string, media binary"), "media", "zstd")
 
 
 def inspect(media: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def random_bgp(rng):
     return out
 
 
-@pytest.mark.parametrize("seed", range(int(os.environ.get("PATTERN_SEEDS", "40"))))
+@pytest.mark.parametrize("seed", range(int(os.environ.get("PATTERN_SEEDS", "24"))))
 def test_random_patterns(engine, seed):
     rng = random.Random(seed)
     data = triples()

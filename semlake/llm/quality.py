@@ -19,7 +19,7 @@ BITS = 17
 #: Bytes of a word's start that is a feature besides the word.
 PREFIX = 6
 #: Documents that the scorers are trained on at most: annotated ones first, by hash. All documents count for the labellers.
-SAMPLE = 8_000
+SAMPLE = 16_000
 #: Share of a heuristic's bad votes that are right at least; keeps kinds of junk with few votes in common together.
 LEAST = 0.9
 #: Share of an annotator's votes that are wrong at most.
@@ -228,13 +228,13 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
         for batch in batches:
             found = [buckets(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in found], pa.list_(pa.int32()))], ["at", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["at", "features"])
 
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(at,) for at in chosen], "at long"))
-    described = map_texts(rows.join(wanted, "at").select("at", "text").dropDuplicates(["at"]), describing, "at long, features array<int>")
+    described = map_texts(rows.join(wanted, "at").select("at", "text").dropDuplicates(["at"]), describing, "at long, features binary")
     import numpy as np
 
-    features = {r["at"]: np.array(r["features"], np.int64) for r in described.toLocalIterator()}
+    features = {r["at"]: np.frombuffer(r["features"], np.int32) for r in described.toLocalIterator()}
     order = sorted(at for at in chosen if at in features)
     weights = {}
     for a in AXES:

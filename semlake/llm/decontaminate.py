@@ -45,7 +45,7 @@ def _judged(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
     a, b = keys(col(id_col), col(text_col))
     texts = docs.select(col(id_col).alias("doc"), a.alias("a"), b.alias("b"), _words(col(text_col)).alias("words"))
-    vocabulary = written(windows.select(F.explode("win").alias("word")).distinct(), "vocabulary")
+    vocabulary = windows.select(F.explode("win").alias("word")).distinct()
     seen = texts.select(F.explode_outer("words").alias("raw")).select(ascii_lower(F.col("raw")).alias("word"))
     counts = [seen.join(block, "word").groupBy("word").agg(F.count(F.lit(1)).alias("df")) for block in _blocks(vocabulary, "word")]
     counts = written(reduce(DataFrame.unionByName, counts), "counts")
@@ -53,7 +53,7 @@ def _judged(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     # the rarest word of each window, and where in it that stands; a word that no document has rules the window out
     tokens = windows.select("key", "win").dropDuplicates(["key"]).select("key", "win", F.posexplode("win").alias("off", "word"))
     tokens = tokens.join(counts, "word", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "off")).alias("t"), F.first("win").alias("win")).where("t.df > 0")
-    prefix = written(tokens.select("key", F.col("t.word").alias("word"), F.col("t.off").alias("off"), F.size("win").alias("len"), F.array_join("win", " ").alias("said")), "prefix")
+    prefix = tokens.select("key", F.col("t.word").alias("word"), F.col("t.off").alias("off"), F.size("win").alias("len"), F.array_join("win", " ").alias("said"))
 
     # one more entry of each document that always matches and carries its length; no word is like it
     mark = " "
@@ -69,7 +69,7 @@ def _judged(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
     hits = found.where("key <> ''")
     covered = hits.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("p")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
-    of = written(windows.select("key", "item").distinct(), "items")
+    of = windows.select("key", "item").distinct()
     which = hits.select("row", "key").distinct().join(of, "key").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     out = found.where("key = ''").select("row", "a", "b", "doc", "n").join(covered, "row", "left").join(which, "row", "left")
     return out.select("a", "b", "doc", "n", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

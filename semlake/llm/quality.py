@@ -106,13 +106,13 @@ def buckets(text: bytes, shape: dict | None = None):
     return np.unique(np.fromiter(found, np.int64, len(found)) & ((1 << BITS) - 1)).astype(np.int32)
 
 
-def estimate(patterns: dict[str, int], trusted: tuple[int, ...] = (), rounds: int = 100) -> tuple[float, list[dict]]:
+def estimate(patterns: dict[str, int], trusted: tuple[int, ...] = (), rounds: int = 100, least: float = LEAST) -> tuple[float, list[dict]]:
     """Expectation-maximisation over counts of vote patterns: the share of bad texts, and for each
     labeller the shares (of bad texts, of good texts) that get each vote, abstentions included.
 
     The start says that labellers vote bad on bad texts far more often than on good ones,
     which fixes which class is which. The ``trusted`` labellers are held to be wrong
-    in ``WRONG`` of their votes at most, the others to be right in ``LEAST`` of their bad votes. Without a pattern the share is 0.
+    in ``WRONG`` of their votes at most, the others to be right in ``least`` of their bad votes (0: no such bound). Without a pattern the share is 0.
     """
     k = max(map(len, patterns), default=0)
     rates = [{"-": (0.5, 0.01), "+": (0.1, 0.6), "0": (0.4, 0.39)} for _ in range(k)]
@@ -134,7 +134,7 @@ def estimate(patterns: dict[str, int], trusted: tuple[int, ...] = (), rounds: in
                     of[right][c] = voted - of[wrong][c]
             else:
                 said = sum(of["-"])
-                of["-"][1] = min(of["-"][1], (1 - LEAST) * said)
+                of["-"][1] = min(of["-"][1], (1 - least) * said)
                 of["-"][0] = said - of["-"][1]
             rates[j] = {v: (of[v][0] / (n_bad + 1.5), of[v][1] / (n_good + 1.5)) for v in "-+0"}
     return prior, rates

@@ -134,7 +134,7 @@ def test_weak_labels_find_the_accurate_labeller():
         bad = rng.random() < 0.2
         p = "".join("0" if rng.random() < a else "-" if (rng.random() < r) == bad else "+" for a, r in ((0.1, 0.95), (0.3, 0.9), (0.5, 0.6)))
         patterns[p] = patterns.get(p, 0) + 1
-    prior, rates = quality.estimate(patterns)
+    prior, rates = quality.estimate(patterns, least=0.0)  # these labellers err more than the heuristics may
     assert abs(prior - 0.2) < 0.05
     assert rates[0]["-"][0] > 0.7 and rates[0]["-"][1] < 0.1
 

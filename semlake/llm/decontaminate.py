@@ -37,7 +37,7 @@ def _blocks(df: DataFrame, by: str) -> list[DataFrame]:
 
 
 def _judged(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8) -> DataFrame:
-    """Each row's key (a, b), doc, n, n_hit, items."""
+    """Each row's key (a, b), doc, n, n_hit, items, full (how many of the items by a window of ``size`` words)."""
     bench = items.select(col(item_col).cast("string").alias("item"), F.transform(_words(col(item_text_col)), ascii_lower).alias("w"))
     bench = bench.where(F.col("item").isNotNull() & (F.size("w") > 0))
     spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1))), lambda i: F.slice("w", i, size))
@@ -70,9 +70,9 @@ def _judged(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     hits = found.where("key <> ''")
     covered = hits.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("p")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
     of = windows.select("key", "item").distinct()
-    which = hits.select("row", "key").distinct().join(of, "key").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    which = hits.select("row", "key", "len").distinct().join(of, "key").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"), F.size(F.collect_set(F.when(F.col("len") >= size, F.col("item")))).alias("full"))
     out = found.where("key = ''").select("row", "a", "b", "doc", "n").join(covered, "row", "left").join(which, "row", "left")
-    return out.select("a", "b", "doc", "n", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select("a", "b", "doc", "n", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("full", F.lit(0)).alias("full"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8, at_least: int = 2) -> DataFrame:
@@ -90,13 +90,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), n_items.cast("long").alias("n_items"), "items", (n_items >= at_least).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8, at_least: int = 1) -> DataFrame:
-    """``docs`` without the rows in which windows of ``at_least`` items occur, all columns under their names.
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8, at_least: int = 1, at_least_short: int = 1) -> DataFrame:
+    """``docs`` without the rows in which windows of ``size`` words of ``at_least`` items occur, or windows
+    of ``at_least_short`` items if shorter ones count, all columns under their names.
+
+    An item of fewer than ``size`` words is one shorter window; a common word is no leak by itself, which ``at_least_short`` above 1 allows for.
 
     A row is known by its id and text, so rows that share an id are judged each on
     its own text. Nulls and short texts are as in ``contamination``.
     """
-    bad = written(_judged(docs, items, id_col, text_col, item_col, item_text_col, size).where(F.size("items") >= at_least).select("a", "b").distinct(), "contaminated")
+    bad = written(_judged(docs, items, id_col, text_col, item_col, item_text_col, size).where((F.col("full") >= at_least) | (F.size("items") >= max(at_least, at_least_short))).select("a", "b").distinct(), "contaminated")
     k1, k2 = fresh(docs, "k1", "k2")
     a, b = keys(col(id_col), col(text_col))
     return docs.withColumn(k1, a).withColumn(k2, b).join(bad.withColumnsRenamed({"a": k1, "b": k2}), [k1, k2], "left_anti").drop(k1, k2)

@@ -25,6 +25,8 @@ LEAST = 0.9
 #: Share of an annotator's votes that are wrong at most.
 WRONG = 0.005
 EPOCHS = 4
+#: Words of a window in which different words are counted, so that long texts are judged as short ones are.
+WINDOW = 400
 AXES = ("junk", "toxic")
 JUNK = ("symbols", "shouting", "one word", "marks", "letters", "repeats", "runs", "annotator")
 TOXIC = ("insults", "annotator")
@@ -56,6 +58,7 @@ def shapes(text: bytes) -> dict:
         "marks": (text.count(b"!") + text.count(b"?")) / n,
         "top": max(counts.values(), default=0) / n,
         "distinct": len(counts) / n,
+        "fresh": (len(counts) if n <= WINDOW else sum(len(set(words[i : i + WINDOW])) for i in range(0, n, WINDOW))) / n,
         "runs": sum(map(eq, words, words[1:])) / n,
         "letters": letters / size,
         "length": size / n,
@@ -73,7 +76,7 @@ _TO_BLANK = bytes(32 if b in _STRIP else b for b in range(256))
 def signs(s: dict) -> tuple[bool, ...]:
     """Which signs of junk a text's shape has, one for each labeller of them."""
     enough = s["n"] >= 10
-    return (s["symbols"] >= 0.5, enough and s["upper"] >= 0.5, enough and s["top"] >= 0.4, s["marks"] >= 0.4, enough and s["letters"] <= 0.55, s["distinct"] < 0.3 and s["n"] < 400, enough and s["runs"] >= 0.04)
+    return (s["symbols"] >= 0.5, enough and s["upper"] >= 0.5, enough and s["top"] >= 0.4, s["marks"] >= 0.4, enough and s["letters"] <= 0.55, s["fresh"] < 0.3, enough and s["runs"] >= 0.04)
 
 
 def votes(text: bytes, shape: dict | None = None) -> tuple[str, str]:

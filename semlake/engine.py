@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from .functions.expressions import FunctionRegistry, registry
 from .plans.algebra import show, translate
 from .plans.catalog import Catalog
-from .plans.compile import compile_query
-from .sparql.ast import QuerySpec
+from .plans.compile import Compiled, compile_query
+from .sparql.ast import XSD, QuerySpec
 from .sparql.parser import parse
 from .streaming.incremental import Trace, answers
 
@@ -22,17 +22,33 @@ from .streaming.incremental import Trace, answers
 class QueryResult:
     """A lazy result: nothing runs until rows are asked for."""
 
-    df: DataFrame
+    compiled: Compiled
     form: str
-    vars: list[str]
     spec: QuerySpec
-    trace: list[str] = field(default_factory=list)
     planning: dict[str, float] = field(default_factory=dict)
 
+    @property
+    def df(self) -> DataFrame:
+        return self.compiled.df
+
+    @property
+    def vars(self) -> list[str]:
+        return self.compiled.names
+
+    @property
+    def trace(self) -> list[str]:
+        return self.compiled.trace
+
     def stream(self, trace: Trace | None = None) -> Iterator[Row]:
         """Rows one by one, as partitions finish."""
         return answers(self.df, trace)
 
+    def terms(self, trace: Trace | None = None) -> Iterator[dict]:
+        """Solutions one by one as {variable: {type, value[, datatype][, xml:lang]}}, unbound ones left out."""
+        kinds = [self.compiled.kinds[v] for v in self.vars]
+        for row in answers(self.compiled.typed, trace):
+            yield {v: _json_term(x, kind) for v, x, kind in zip(self.vars, row, kinds) if x is not None}
+
     def explain(self, physical: bool = False) -> str:
         """The algebra, what each star is answered from, and Spark's plan on demand."""
         text = show(translate(self.spec.where)) + "\n" + "\n".join(self.trace)
@@ -41,14 +57,17 @@ class QueryResult:
         return text
 
     def to_dict(self) -> dict:
-        """{vars, result, execTime, firstResult, totalRows}; result holds {variable: {type, value}}, or true/false for ASK."""
-        trace = Trace()
-        rows = list(self.stream(trace))
+        """{vars, result, execTime, firstResult, totalRows}; result holds {variable: {type, value}}, or true/false for ASK.
+
+        The whole result is in memory then; ``terms``, ``write_tsv`` and ``df`` serve larger ones.
+        """
+        trace = Trace(keep=False)
         if self.form == "ASK":
-            result: object = bool(rows[0][0])
+            result: object = bool(next(iter(self.stream(trace)))[0])
+            trace.end()
         else:
-            result = [{v: _json_term(x) for v, x in zip(self.vars, row) if x is not None} for row in rows]
-        return {"vars": self.vars, "result": result, "execTime": trace.total, "firstResult": trace.first, "totalRows": len(rows)}
+            result = list(self.terms(trace))
+        return {"vars": self.vars, "result": result, "execTime": trace.total, "firstResult": trace.first, "totalRows": 1 if self.form == "ASK" else len(result)}
 
     def to_json(self) -> str:
         return json.dumps(self.to_dict(), default=str)
@@ -59,7 +78,7 @@ class QueryResult:
 
     def summary(self, name: str = "") -> dict:
         """One line of a benchmark: qname, decompositionTime, planningTime, firstResult, overallExecTime, status, cardinality."""
-        trace = Trace()
+        trace = Trace(keep=False)
         n = sum(1 for _ in self.stream(trace))
         return {
             "qname": name, "decompositionTime": self.planning.get("parse", 0.0), "planningTime": self.planning.get("plan", 0.0),
@@ -67,25 +86,46 @@ class QueryResult:
         }
 
 
-def _json_term(x) -> dict:
-    if isinstance(x, str):
-        iri = x.startswith(("http://", "https://", "urn:"))
-        return {"type": "uri" if iri else "literal", "value": x}
+#: Integer types that a source's columns have; a result calls them integers.
+_INTEGERS = {XSD + x for x in ("byte", "short", "int", "long")}
+
+
+def _json_term(x, kind: tuple[str, str | None, str | None] | None) -> dict:
+    """A term as results show it; ``kind`` is (type, datatype, language) of a plain value, a struct says so itself."""
+    if kind is None:
+        what, x, datatype, lang = x
+    else:
+        what, datatype, lang = kind
     if isinstance(x, bool):
-        return {"type": "typed-literal", "value": str(x).lower(), "datatype": "http://www.w3.org/2001/XMLSchema#boolean"}
-    kind = {"int": "integer", "float": "double", "Decimal": "decimal", "datetime": "dateTime", "date": "date"}.get(type(x).__name__, "string")
-    return {"type": "typed-literal", "value": x.isoformat() if hasattr(x, "isoformat") else str(x), "datatype": f"http://www.w3.org/2001/XMLSchema#{kind}"}
+        x = str(x).lower()
+    elif hasattr(x, "isoformat"):
+        x = x.isoformat()
+    if what != "literal":
+        return {"type": what, "value": str(x)}
+    if lang:
+        return {"type": "literal", "value": str(x), "xml:lang": lang}
+    if datatype is None or datatype == XSD + "string":
+        return {"type": "literal", "value": str(x)}
+    return {"type": "typed-literal", "value": str(x), "datatype": XSD + "integer" if datatype in _INTEGERS else datatype}
 
 
 class Engine:
-    """Answers SPARQL over a catalog with one Spark session."""
+    """Answers SPARQL over a catalog with one Spark session.
+
+    Sources' frames (schemas, lists of files) and which maps have rows are kept from one
+    query to the next; ``refresh`` forgets them, for sources whose files changed.
+    """
 
     def __init__(self, spark: SparkSession, catalog: Catalog, functions: FunctionRegistry = registry):
         self.spark, self.catalog, self.functions = spark, catalog, functions
+        self.loaded: dict = {}
+
+    def refresh(self) -> None:
+        self.loaded.clear()
 
     def query(self, text: str) -> QueryResult:
         began = time.perf_counter()
         spec = parse(text)
         parsed = time.perf_counter()
-        df, names, trace = compile_query(self.spark, self.catalog, spec, self.functions)
-        return QueryResult(df, spec.form, names, spec, trace, {"parse": parsed - began, "plan": time.perf_counter() - parsed})
+        compiled = compile_query(self.spark, self.catalog, spec, self.functions, self.loaded)
+        return QueryResult(compiled, spec.form, spec, {"parse": parsed - began, "plan": time.perf_counter() - parsed})

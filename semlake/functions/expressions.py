@@ -50,6 +50,16 @@ _RANGES = {
 _FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "=", "!=": "!="}
 
 
+def _promoted(of: list[Val], division: bool = False) -> str:
+    """The datatype of a sum, difference, product or quotient: the widest of its operands; integers divide to a decimal."""
+    widest = 0
+    for v in of:
+        name = (v.datatype or "").removeprefix(XSD)
+        rank = 0 if v.kind == "num" and name in _RANGES else {"decimal": 1, "float": 2}.get(name, 3) if v.kind == "num" else 3
+        widest = max(widest, rank)
+    return XSD + ("integer", "decimal", "float", "double")[max(widest, int(division))]
+
+
 def _error(kind: str = "boolean") -> Column:
     return F.lit(None).cast(kind)
 
@@ -102,16 +112,17 @@ class Compiler:
         if name in _FLIP:
             return Val("bool", self.compare(name, self.val(args[0]), self.val(args[1])), XSD + "boolean")
         if name in ("+", "-", "*", "/"):
-            a, b = (self.number(self.val(x)) for x in args)
+            both = [self.val(x) for x in args]
+            a, b = map(self.number, both)
             made = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": lambda x, y: F.try_divide(x.cast("double"), y.cast("double"))}[name](a, b)
-            return Val("num", made)
+            return Val("num", made, _promoted(both, name == "/"))
         if name in ("u-", "u+"):
             x = self.val(args[0])
             n = self.number(x)
             if isinstance(x.const, (int, float, Decimal)) and not isinstance(x.const, bool):
                 v = -x.const if name == "u-" else x.const
-                return Val("num", F.lit(v), x.datatype, const=v)
-            return Val("num", F.try_subtract(F.lit(0), n) if name == "u-" else n, x.datatype)
+                return Val("num", F.lit(v), _promoted([x]), const=v)
+            return Val("num", F.try_subtract(F.lit(0), n) if name == "u-" else n, _promoted([x]))
         method = getattr(self, "_" + name.lower(), None) if name.isupper() else None
         if method:
             return method(*args)
@@ -290,17 +301,17 @@ class Compiler:
         return self._is(x, ("num", "str", "bool", "time"), ("literal",))
 
     def _regex(self, x, pattern, flags=None) -> Val:
+        """A pattern that is none is an error of the row, never of the job."""
         text, p = self.text(self.val(x)), self.val(pattern)
-        if flags is not None:
-            f = self.val(flags)
-            if not isinstance(f.const, str) or set(f.const) - set("imsx"):
-                return Val("error", _error())
-            if isinstance(p.const, str):
-                return Val("bool", text.rlike(f"(?{f.const}){p.const}" if f.const else p.const), XSD + "boolean")
-            return Val("bool", F.rlike(text, F.concat(F.lit(f"(?{f.const})"), self.text(p))), XSD + "boolean")
+        f = self.val(flags).const if flags is not None else ""
+        if not isinstance(f, str) or set(f) - set("imsx"):
+            return Val("error", _error())
+        said = f"(?{f})" if f else ""
         if isinstance(p.const, str):
-            return Val("bool", text.rlike(p.const), XSD + "boolean")
-        return Val("bool", F.rlike(text, self.text(p)), XSD + "boolean")
+            return Val("bool", text.rlike(said + p.const), XSD + "boolean") if _is_pattern(said + p.const) else Val("error", _error())
+        # found anywhere; null where the pattern, which rows hold, is none
+        whole = F.concat(F.lit(said + r"[\s\S]*(?:"), self.text(p), F.lit(r")[\s\S]*"))
+        return Val("bool", F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), whole, text).cast("boolean"), XSD + "boolean")
 
     def _contains(self, x, y) -> Val:
         return Val("bool", F.contains(self.text(self.val(x)), self.text(self.val(y))), XSD + "boolean")
@@ -344,5 +355,18 @@ class Compiler:
         return Val("error", _error("string"))
 
 
+def _is_pattern(text: str) -> bool:
+    """Whether Java's regular expressions take it."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+    from pyspark.sql import SparkSession
+
+    try:
+        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(text)
+    except (Py4JJavaError, PySparkException):
+        return False
+    return True
+
+
 def _apply(op: str, x: Column, y: Column) -> Column:
     return {"=": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]

@@ -24,7 +24,7 @@ class Solutions:
 def nothing(spark: SparkSession, names) -> Solutions:
     """No solution, for these variables; Catalyst drops what is joined with it."""
     terms = {v: T.Term("literal", (fresh(),), ("string",)) for v in names}
-    schema = ", ".join(f"{t.cols[0]} string" for t in terms.values()) or f"{fresh()} int"
+    schema = ", ".join(f"`{t.cols[0]}` string" for t in terms.values()) or f"`{fresh()}` int"
     return Solutions(spark.createDataFrame([], schema), terms)
 
 
@@ -41,30 +41,19 @@ def _all(conditions: list[Column]) -> Column | None:
 
 
 def compatible(left: Solutions, right: Solutions) -> tuple[Column | None, bool]:
-    """The condition that two solutions agree on shared variables, and whether it can hold at all.
-
-    Where both sides are certainly bound it is plain equality, an equi-join. Otherwise an
-    unbound side agrees with anything.
-    """
+    """The condition that two solutions agree on shared variables, all certain, and whether it can hold at all."""
     conditions = []
     for v in left.terms:
-        if v not in right.terms:
-            continue
-        a, b = left.terms[v], right.terms[v]
-        same = T.equal(a, b)
-        if a.certain and b.certain:
+        if v in right.terms:
+            same = T.equal(left.terms[v], right.terms[v])
             if same is None:
                 return None, False
             conditions.append(same)
-        else:
-            free = [~T.bound(t) for t in (a, b) if not t.certain]
-            loose = free[0] if len(free) == 1 else free[0] | free[1]
-            conditions.append(loose if same is None else loose | same)
     return _all(conditions), True
 
 
-def _merged(df: DataFrame, left: Solutions, right: Solutions, outer: bool) -> Solutions:
-    """The terms after a join: the left's where it is bound, else the right's."""
+def _merged(df: DataFrame, left: Solutions, right: Solutions, outer: bool, also: tuple[str, ...] = ()) -> Solutions:
+    """The terms after a join: the left's where it is bound, else the right's. Columns ``also`` stay."""
     terms, made = {}, []
     for v, a in left.terms.items():
         b = right.terms.get(v)
@@ -79,31 +68,77 @@ def _merged(df: DataFrame, left: Solutions, right: Solutions, outer: bool) -> So
     for v, b in right.terms.items():
         if v not in left.terms:
             terms[v] = replace(b, certain=b.certain and not outer)
-    keep = list(dict.fromkeys(c for t in terms.values() for c in t.cols if c in df.columns))
+    there = set(df.columns)
+    keep = list(dict.fromkeys([*(c for t in terms.values() for c in t.cols if c in there), *also]))
     return Solutions(df.select(*map(T.column, keep), *made) if keep or made else df.select(F.lit(1).alias(fresh())), terms)
 
 
-def _halves(s: Solutions, v: str) -> list[Solutions]:
-    """The solutions that bind a variable, for which it is certain then, and the others, which lack it."""
-    there = T.bound(s.terms[v])
-    others = {n: t for n, t in s.terms.items() if n != v}
-    return [Solutions(s.df.where(there), {**s.terms, v: replace(s.terms[v], certain=True)}), Solutions(s.df.where(~there), others)]
+def _uncertain(left: Solutions, right: Solutions) -> list[str]:
+    """The shared variables that a side may lack."""
+    return [v for v in left.terms if v in right.terms and not (left.terms[v].certain and right.terms[v].certain)]
 
 
-def _uncertain(left: Solutions, right: Solutions, of: Solutions) -> str | None:
-    return next((v for v in left.terms if v in right.terms and not of.terms[v].certain), None)
+def _mask(s: Solutions, names: list[str]) -> Column:
+    """Bit i says that the solution binds the i-th variable."""
+    out = F.lit((1 << len(names)) - 1)
+    for i, v in enumerate(names):
+        if not s.terms[v].certain:
+            out = out - F.when(T.bound(s.terms[v]), 0).otherwise(1 << i)
+    return out
+
+
+def _masks(s: Solutions, names: list[str]) -> list[int]:
+    """The masks that solutions may have."""
+    free = [1 << i for i, v in enumerate(names) if not s.terms[v].certain]
+    every = (1 << len(names)) - 1
+    return [every - sum(free[i] for i in range(len(free)) if m >> i & 1) for m in range(1 << len(free))]
+
+
+def _masked(left: Solutions, right: Solutions, names: list[str]) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides, and the condition that they agree where both bind a variable: equalities only.
+
+    A solution is repeated for each mask that the other side may have, so that the
+    masks of both are known on either side of the join; a variable that one of
+    them lacks has no key there. The number of reads does not grow with the variables.
+    """
+    sides = []
+    for s, other in ((left, right), (right, left)):
+        masks = _masks(other, names)
+        many = F.explode(F.array(*map(F.lit, masks))) if len(masks) > 1 else F.lit(masks[0])
+        own, far = fresh(), fresh()
+        sides.append((s.df.select("*", _mask(s, names).alias(own)).select("*", many.alias(far)), own, far))
+    (a, a_own, a_far), (b, b_own, b_far) = sides
+    on = (T.column(a_own) == T.column(b_far)) & (T.column(a_far) == T.column(b_own))
+    for v in left.terms:
+        if v not in right.terms:
+            continue
+        pairs = T.equal_keys(left.terms[v], right.terms[v])
+        if v not in names:
+            if pairs is None:
+                return a.where(F.lit(False)), b, on
+            for x, y in pairs:
+                on = on & (x == y)
+            continue
+        bit = F.lit(1 << names.index(v))
+        both = T.column(a_own).bitwiseAND(T.column(a_far)).bitwiseAND(bit) != 0
+        if pairs is None:
+            a = a.where(~both)
+            continue
+        also = T.column(b_own).bitwiseAND(T.column(b_far)).bitwiseAND(bit) != 0
+        for x, y in pairs:
+            on = on & F.when(both, x).eqNullSafe(F.when(also, y))
+    return a, b, on
 
 
 def join(left: Solutions, right: Solutions) -> Solutions:
     """Natural join on shared variables; without any, all pairs.
 
-    A side that may lack a shared variable is taken apart into the solutions that have
-    it and those that do not: each part is an equi-join again.
+    Where a side may lack a shared variable an unbound one agrees with anything; see ``_masked``.
     """
-    if (v := _uncertain(left, right, left)) is not None:
-        return union([join(part, right) for part in _halves(left, v)])
-    if (v := _uncertain(left, right, right)) is not None:
-        return union([join(left, part) for part in _halves(right, v)])
+    names = _uncertain(left, right)
+    if names:
+        a, b, on = _masked(left, right, names)
+        return _merged(a.join(b, on), left, right, False)
     condition, possible = compatible(left, right)
     if not possible:
         return nothing(left.df.sparkSession, dict.fromkeys([*left.terms, *right.terms]))
@@ -111,22 +146,35 @@ def join(left: Solutions, right: Solutions) -> Solutions:
     return _merged(df, left, right, False)
 
 
-def left_join(left: Solutions, right: Solutions, condition_of) -> Solutions:
-    """OPTIONAL: ``condition_of(terms)`` makes further conditions on the pair, or None.
+def left_join(left: Solutions, right: Solutions, condition_of, used=()) -> Solutions:
+    """OPTIONAL: ``condition_of(terms)`` makes further conditions on the pair, or None; they use the variables ``used``.
 
-    Solutions of the left that have a shared variable, and those that lack it, are joined
-    apart; only where the right may lack one the condition is no equality.
+    Where a side may lack a shared variable, the pairs that agree are one join, and the
+    solutions of the left without a pair are found by what decides that: their shared
+    variables and those that the conditions use.
     """
-    if (v := _uncertain(left, right, left)) is not None:
-        return union([left_join(part, right, condition_of) for part in _halves(left, v)])
-    condition, possible = compatible(left, right)
-    if not possible:
-        return left
-    more = condition_of({**right.terms, **left.terms})
-    condition = _all([c for c in (condition, more) if c is not None])
-    if condition is None:
-        condition = F.lit(True)
-    return _merged(left.df.join(right.df, condition, "left"), left, right, True)
+    names = _uncertain(left, right)
+    if not names:
+        condition, possible = compatible(left, right)
+        if not possible:
+            return left
+        more = condition_of({**right.terms, **left.terms})
+        condition = _all([c for c in (condition, more) if c is not None])
+        if condition is None:
+            condition = F.lit(True)
+        return _merged(left.df.join(right.df, condition, "left"), left, right, True)
+    a, b, on = _masked(left, right, names)
+    decisive = list(dict.fromkeys(c for v, t in left.terms.items() if v in right.terms or v in used for c in t.cols))
+    kept = {c: fresh() for c in decisive}
+    pairs = a.select("*", *[T.column(c).alias(n) for c, n in kept.items()]).join(b, on)
+    both = _merged(pairs, left, right, False, tuple(kept.values()))
+    more = condition_of(both.terms)  # sees the left's value, or the right's where the left has none
+    if more is not None:
+        both = Solutions(both.df.where(more), both.terms)
+    having = both.df.select(*map(T.column, kept.values())).distinct()
+    same = _all([T.column(c).eqNullSafe(T.column(n)) for c, n in kept.items()])
+    alone = Solutions(left.df.join(having, same, "left_anti"), left.terms)
+    return union([both, alone])
 
 
 def union(parts: list[Solutions]) -> Solutions:
@@ -169,10 +217,10 @@ def distinct(s: Solutions, names: list[str]) -> Solutions:
 
 
 def construct(s: Solutions, template, term_of) -> DataFrame:
-    """(s, p, o): the template's triples for each solution, those with unbound parts left out."""
+    """(s, p, o): the template's triples for each solution, those with unbound parts left out. ``term_of`` makes text, or structs of terms."""
     rows = []
     for t in template:
         parts = [term_of(x, s.terms) for x in (t.s, t.p, t.o)]
-        rows.append(F.struct(*[p.cast("string").alias(n) for p, n in zip(parts, ("s", "p", "o"))]))
+        rows.append(F.struct(*[p.alias(n) for p, n in zip(parts, ("s", "p", "o"))]))
     out = s.df.select(F.explode(F.array(*rows)).alias("t")).select("t.s", "t.p", "t.o")
     return out.where("s is not null and p is not null and o is not null")

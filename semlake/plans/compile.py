@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Compiler, FunctionRegistry, registry
 from ..operators import solutions as S
-from ..sparql.ast import RDF_TYPE, Iri, OrderKey, QuerySpec, Triple, Var
+from ..sparql.ast import RDF_TYPE, XSD, Filter_, Group, Iri, Optional_, OrderKey, QuerySpec, Triple, Union_, Var, expr_vars
 from ..sparql.parser import pattern_vars
 from . import algebra as A
 from . import stars as stars_
@@ -18,9 +21,9 @@ from .catalog import Catalog
 class PatternCompiler:
     """Compiles patterns over a catalog; ``trace`` gets a line for each star."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, functions: FunctionRegistry = registry):
+    def __init__(self, spark: SparkSession, catalog: Catalog, functions: FunctionRegistry = registry, loaded: dict | None = None):
         self.spark, self.functions = spark, functions
-        self.planner = stars_.Planner(spark, catalog)
+        self.planner = stars_.Planner(spark, catalog, loaded)
         self.trace: list[str] = []
 
     def pattern(self, node) -> S.Solutions:
@@ -32,11 +35,12 @@ class PatternCompiler:
             return S.join(self.pattern(node.left), self.pattern(node.right))
         if isinstance(node, A.LeftJoin):
             left, right = self.pattern(node.left), self.pattern(node.right)
-            return S.left_join(left, right, lambda terms: self.conditions(node.exprs, terms))
+            used = set().union(*map(expr_vars, node.exprs)) if node.exprs else set()
+            return S.left_join(left, right, lambda terms: self.conditions(node.exprs, terms), used)
         if isinstance(node, A.Union):
             return S.union([self.pattern(b) for b in node.branches])
         if isinstance(node, A.Filter):
-            s = self.pattern(node.child)
+            s = self.bgp(node.child, tuple(node.exprs)) if isinstance(node.child, A.BGP) else self.pattern(node.child)
             return S.Solutions(s.df.where(self.conditions(node.exprs, s.terms)), s.terms)
         raise TypeError(node)
 
@@ -62,10 +66,12 @@ class PatternCompiler:
             out = c if out is None else out & c
         return out
 
-    def bgp(self, node: A.BGP) -> S.Solutions:
+    def bgp(self, node: A.BGP, filters: tuple = ()) -> S.Solutions:
+        self.planner.filters = filters
         stars = [self.planner.star(ts) for ts in A.stars(node.triples)]
         before = [len(s.alternatives) for s in stars]
         stars_.prune(stars)
+        stars = stars_.merge_remote(stars, self.planner)
         stars = stars_.ordered(stars, stars_.estimated_bytes)
         for s in stars:
             self.trace.append(f"star of {s.triples[0].s}: {len(s.triples)} triples over {' | '.join('+'.join(a.names) for a in s.alternatives) or 'nothing'}")
@@ -77,9 +83,37 @@ class PatternCompiler:
         for star in stars:
             one = S.union([S.Solutions(a.frame(), a.terms) for a in star.alternatives])
             out = one if out is None else S.join(out, one)
+        self.planner.filters = ()
         return out
 
 
+def _wanted(q: QuerySpec, names: list[str]) -> frozenset[str] | None:
+    """The variables that a query shows or uses more than once; None where all count."""
+    if q.form != "SELECT":
+        return None
+    counts: dict[str, int] = {}
+
+    def walk(part) -> None:
+        if isinstance(part, Triple):
+            for v in part.vars():
+                counts[v] = counts.get(v, 0) + 1
+        elif isinstance(part, Group):
+            for p in part.parts:
+                walk(p)
+        elif isinstance(part, Optional_):
+            walk(part.group)
+        elif isinstance(part, Union_):
+            for b in part.branches:
+                walk(b)
+        elif isinstance(part, Filter_):
+            for v in expr_vars(part.expr):
+                counts[v] = 2
+
+    walk(q.where)
+    ordering = set().union(*(expr_vars(k.expr) for k in q.order)) if q.order else set()
+    return frozenset({v for v, n in counts.items() if n > 1} | set(names) | ordering)
+
+
 def order_columns(keys: list[OrderKey], terms: dict[str, T.Term], functions: FunctionRegistry) -> list[Column]:
     """Sort keys: unbound, then blank nodes, then IRIs, then literals; numbers before other literals where kinds mix."""
     out = []
@@ -100,21 +134,40 @@ def order_columns(keys: list[OrderKey], terms: dict[str, T.Term], functions: Fun
     return out
 
 
-def compile_query(spark: SparkSession, catalog: Catalog, q: QuerySpec, functions: FunctionRegistry = registry) -> tuple[DataFrame, list[str], list[str]]:
-    """(frame, variables, trace) of a query."""
-    compiler = PatternCompiler(spark, catalog, functions)
+@dataclass
+class Compiled:
+    """A query's frame as it is shown, its variables, how it was planned, and the same rows as terms.
+
+    ``typed`` has for each variable a struct (kind, value, datatype, lang) where rows differ in kind; for others
+    ``kinds`` says what all their values are.
+    """
+
+    df: DataFrame
+    names: list[str]
+    trace: list[str]
+    typed: DataFrame
+    kinds: dict[str, tuple[str, str | None, str | None] | None]
+
+
+def compile_query(spark: SparkSession, catalog: Catalog, q: QuerySpec, functions: FunctionRegistry = registry, loaded: dict | None = None) -> Compiled:
+    compiler = PatternCompiler(spark, catalog, functions, loaded)
+    names = q.variables if q.variables is not None else pattern_vars(q.where)
+    compiler.planner.wanted, compiler.planner.distinct = _wanted(q, names), q.form == "SELECT" and q.distinct
     s = compiler.classes(q) or compiler.pattern(A.translate(q.where))
     if q.form == "ASK":
-        return s.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("result")), ["result"], compiler.trace
+        df = s.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("result"))
+        return Compiled(df, ["result"], compiler.trace, df, {"result": ("literal", XSD + "boolean", None)})
     if q.form == "CONSTRUCT":
         s = _sliced(S.Solutions(s.df.orderBy(*order_columns(q.order, s.terms, functions)) if q.order else s.df, s.terms), q)
-        return S.construct(s, q.template, _shown), ["s", "p", "o"], compiler.trace
-    names = q.variables if q.variables is not None else pattern_vars(q.where)
+        return Compiled(S.construct(s, q.template, _shown), ["s", "p", "o"], compiler.trace, S.construct(s, q.template, _typed), {"s": None, "p": None, "o": None})
     if q.distinct:
         s = S.distinct(s, names)
     if q.order:
         s = S.Solutions(s.df.orderBy(*order_columns(q.order, s.terms, functions)), s.terms)
-    return S.shown(_sliced(s, q), names), names, compiler.trace
+    s = _sliced(s, q)
+    kinds = {v: None if (t := s.terms.get(v)) is None or t.kind == "mixed" else ("uri" if t.kind == "iri" else t.kind, t.xsd() if t.kind == "literal" else None, t.lang) for v in names}
+    typed = s.df.select(*[(T.columns(s.terms[v])[0] if kinds[v] is None else T.value(s.terms[v])).alias(v) if v in s.terms else F.lit(None).cast(T.MIXED).alias(v) for v in names])
+    return Compiled(S.shown(s, names), names, compiler.trace, typed, kinds)
 
 
 def _sliced(s: S.Solutions, q: QuerySpec) -> S.Solutions:
@@ -128,10 +181,22 @@ def _sliced(s: S.Solutions, q: QuerySpec) -> S.Solutions:
 
 def _shown(node, terms: dict[str, T.Term]) -> Column:
     if isinstance(node, Var):
-        return T.value(terms[node.name]) if node.name in terms else F.lit(None).cast("string")
+        return T.value(terms[node.name]).cast("string") if node.name in terms else F.lit(None).cast("string")
     if isinstance(node, Iri):
         return F.lit(node.value)
     return F.lit(str(node.value).lower() if isinstance(node.value, bool) else str(node.value))
 
 
-__all__ = ["PatternCompiler", "compile_query", "order_columns"]
+def _typed(node, terms: dict[str, T.Term]) -> Column:
+    if isinstance(node, Var):
+        return T.mixed(terms.get(node.name))
+    if isinstance(node, Iri):
+        said = ("uri", node.value, None, None)
+    else:
+        text = str(node.value).lower() if isinstance(node.value, bool) else str(node.value)
+        kind = node.datatype or next((XSD + name for cls, name in ((bool, "boolean"), (int, "integer"), (Decimal, "decimal"), (float, "double")) if isinstance(node.value, cls)), None)
+        said = ("literal", text, kind, node.lang)
+    return F.struct(*[F.lit(x).cast("string").alias(n) for x, n in zip(said, ("kind", "value", "datatype", "lang"))])
+
+
+__all__ = ["Compiled", "PatternCompiler", "compile_query", "order_columns"]

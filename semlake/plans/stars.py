@@ -16,16 +16,20 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..rml.model import PredicateObject, TermMap, TriplesMap
-from ..sources.paths import reach
+from ..rml.model import LogicalSource, PredicateObject, TermMap, TriplesMap
+from ..sources.paths import many, quoted, reach
 from ..sources.registry import SourceSpec, load
+from ..sources.remote import Remote, is_endpoint
 from ..sparql.ast import RDF_TYPE, XSD, Iri, Literal, Triple, Var
 from . import terms as T
 from .catalog import Catalog
 
-#: Assignments of one star beyond which the query is refused.
-MOST = 512
+#: Assignments of one star beyond which each triple becomes a union of its own, joined with the others.
+MOST = 64
+#: What generated columns begin with; names that some source has are left out.
+PREFIX = "~c"
 _fresh = itertools.count()
+_foreign: set[str] = set()
 _CASTS = {"integer": "bigint", "long": "bigint", "int": "int", "short": "smallint", "byte": "tinyint", "decimal": "decimal(38,18)", "double": "double", "float": "float", "boolean": "boolean", "dateTime": "timestamp_ntz", "date": "date"}
 
 
@@ -34,14 +38,25 @@ class PlanError(ValueError):
 
 
 def fresh() -> str:
-    return f"c{next(_fresh)}"
+    """A column name that no other column has, of whatever source."""
+    while (name := f"{PREFIX}{next(_fresh)}") in _foreign:
+        pass
+    return name
 
 
 class Scan:
-    """One reading of a triples map's rows, with the columns and conditions asked of it."""
+    """One reading of a triples map's rows, with the columns and conditions asked of it.
+
+    Columns are gathered and selected together, so that planning does not grow with them.
+    """
 
     def __init__(self, spark: SparkSession, catalog: Catalog, tm: TriplesMap, df: DataFrame):
         self.spark, self.catalog, self.tm, self.df = spark, catalog, tm, df
+        _foreign.update(c.lower() for c in df.columns if c.lower().startswith(PREFIX))
+        self.kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+        self.plain: list[Column] = []
+        self.computed: list[Column] = []
+        self.generated: list[Column] = []
         self.conditions: list[Column] = []
         self.needed: dict[str, str] = {}
         self.types: dict[str, str] = {}
@@ -55,18 +70,44 @@ class Scan:
     def column(self, reference: str) -> str:
         if reference not in self.needed:
             name = fresh()
-            self.df, kind = reach(self.df, reference, name)
-            self.needed[reference], self.types[name] = name, kind.simpleString()
+            if reference in self.kinds:
+                self.plain.append(quoted(reference).alias(name))
+                kind = self.kinds[reference]
+            else:
+                self.df, reached = reach(self.df, reference, name)
+                kind = reached.simpleString()
+            self.needed[reference], self.types[name] = name, kind
             self.out.append(name)
         return self.needed[reference]
 
     def made(self, c: Column, kind: str) -> str:
+        """A column computed from those of this scan."""
+        name = fresh()
+        self.computed.append(c.alias(name))
+        self.types[name] = kind
+        self.out.append(name)
+        return name
+
+    def each(self, c: Column, kind: str) -> str:
+        """A column with each element of an array, one row for each."""
         name = fresh()
-        self.df = self.df.withColumn(name, c)
+        self.generated.append(F.explode(c).alias(name))
         self.types[name] = kind
         self.out.append(name)
         return name
 
+    def iris(self, values: list[str]) -> T.Term:
+        """A term that is each of these IRIs."""
+        name = self.made(F.lit(values[0]), "string") if len(values) == 1 else self.each(F.array(*map(F.lit, values)), "string")
+        return T.Term("iri", (name,), ("string",), ("", ""))
+
+    def settle(self) -> None:
+        """Puts the columns asked for so far into the frame."""
+        for some in (self.plain, self.computed):
+            if some:
+                self.df = self.df.select("*", *some)
+                some.clear()
+
     def term(self, tm: TermMap, rename=()) -> T.Term:
         """The term that a term map makes of this scan's rows."""
         renamed = dict(rename)
@@ -111,6 +152,7 @@ class Scan:
             one = T.column(self.column(j.child)) == T.column(other.column(j.parent))
             on = one if on is None else on & one
         joined = other.frame()
+        self.settle()
         self.df = self.df.join(joined, on)
         self.out += joined.columns
         self.types |= {c: other.types[c] for c in joined.columns}
@@ -124,10 +166,14 @@ class Scan:
                 self.conditions.append(T.column(c) != "")
 
     def frame(self) -> DataFrame:
+        self.settle()
         df = self.df
+        for c in self.generated:
+            df = df.select("*", c)
+        on = None
         for c in self.conditions:
-            df = df.where(c)
-        df = df.select(*[T.column(c) for c in dict.fromkeys(self.out)])
+            on = c if on is None else on & c
+        df = (df if on is None else df.where(on)).select(*[T.column(c) for c in dict.fromkeys(self.out)])
         return df.distinct() if self.tm.strict else df
 
 
@@ -141,6 +187,8 @@ class Alternative:
     filters: int = 0
     made: DataFrame | None = None
     subject: T.Term | None = None
+    #: What an endpoint answers as a whole, if it does.
+    remote: object = None
 
     def frame(self) -> DataFrame:
         if self.made is None:
@@ -177,18 +225,27 @@ def _match(scan: Scan, term: T.Term, node, terms: dict[str, T.Term]) -> None:
 
 @dataclass(frozen=True)
 class Offer:
-    """A map that offers a triple: by a predicate-object map, or (index None) by its classes."""
+    """A map that offers a triple: by a predicate-object map, (index None) by its classes, or by several of these (``ANY``)."""
 
     map: str
     index: int | None
+    several: tuple[int | None, ...] = ()
+
+
+ANY = -1
 
 
 class Planner:
     """Finds the alternatives of stars in a catalog."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog):
+    def __init__(self, spark: SparkSession, catalog: Catalog, loaded: dict | None = None):
+        """``loaded`` keeps sources' frames, and which maps have rows, from one query to the next."""
         self.spark, self.catalog = spark, catalog
-        self.loaded: dict = {}
+        self.loaded = {} if loaded is None else loaded
+        #: What endpoints are told besides triples: conditions, the variables of use elsewhere (None: all), whether repeated rows matter.
+        self.filters: tuple = ()
+        self.wanted: frozenset[str] | None = None
+        self.distinct = False
 
     def rows(self, source: SourceSpec, logical) -> DataFrame:
         key = (source.name, logical)
@@ -225,14 +282,28 @@ class Planner:
         out = []
         for name in names:
             tm = self.catalog.maps[name]
+            found: list[int | None] = []
             if isinstance(t.p, Var) or t.p.value == RDF_TYPE:
                 if isinstance(t.o, Var) and tm.classes or isinstance(t.o, Iri) and t.o.value in tm.classes:
-                    out.append(Offer(name, None))
-            for i, po in enumerate(tm.objects):
-                if (isinstance(t.p, Var) or po.predicate == t.p.value) and self.possible(po, t.o):
-                    out.append(Offer(name, i))
+                    found.append(None)
+            found += [i for i, po in enumerate(tm.objects) if (isinstance(t.p, Var) or po.predicate == t.p.value) and self.possible(po, t.o)]
+            if isinstance(t.p, Var) and len(found) > 1:
+                # all that one row tells: read once, and unfolded
+                once = tuple(i for i in found if i is None or self.one_valued(tm, tm.objects[i]))
+                if len(once) > 1:
+                    out.append(Offer(name, ANY, once))
+                    found = [i for i in found if i not in once]
+            out += [Offer(name, i) for i in found]
         return out
 
+    def one_valued(self, tm: TriplesMap, po: PredicateObject) -> bool:
+        """A row has one value of this object at most, from its own columns."""
+        if po.object.parent is not None:
+            parent = self.catalog.maps.get(po.object.parent)
+            return parent is not None and (not po.object.joins or set(parent.subject.pieces()[1]) <= {j.parent for j in po.object.joins})
+        df = self.rows(self.catalog.source_of(tm), tm.source)
+        return not any(many(df, r) for r in po.object.term.pieces()[1])
+
     def possible(self, po: PredicateObject, o) -> bool:
         """The object may be this node, as far as templates and kinds tell."""
         term = po.object.term if po.object.parent is None else self.catalog.maps[po.object.parent].subject if po.object.parent in self.catalog.maps else None
@@ -259,14 +330,27 @@ class Planner:
         if complete:
             picks = [p for name in sorted(complete, key=names.index) for p in itertools.product(*([o for o in offers if o.map == name] for offers in per))]
         else:
-            count = 1
-            for offers in per:
-                count *= len(offers)
-            if count > MOST:
-                raise PlanError(f"{count} ways to answer the star of {triples[0].s}")
+            if _product(per) > MOST:
+                return [self.by_triple(triples, names)]
             picks = list(itertools.product(*per))
         return [a for p in picks if (a := self.assigned(others, p, fixed_types, names)) is not None]
 
+    def by_triple(self, triples: list[Triple], names: list[str]) -> Alternative:
+        """Each triple a union of what offers it, joined with the others: as many parts as there are offers."""
+        return self.united([self.of_group([t], names) for t in dict.fromkeys(triples)])
+
+    @staticmethod
+    def united(each: list[list[Alternative]]) -> Alternative:
+        """The join of unions of alternatives."""
+        from ..operators import solutions as S
+
+        out = None
+        for alternatives in each:
+            one = S.union([S.Solutions(a.frame(), a.terms) for a in alternatives])
+            out = one if out is None else S.join(out, one)
+        names = tuple(dict.fromkeys(n for alternatives in each for a in alternatives for n in a.names))
+        return Alternative(out.terms, lambda: out.df, names, max(a.filters for alternatives in each for a in alternatives))
+
     def assigned(self, triples: list[Triple], picks: tuple[Offer, ...], fixed_types: list[Triple], names: list[str]) -> Alternative | None:
         """The scans of one assignment, joined on the subject."""
         s = triples[0].s
@@ -275,7 +359,7 @@ class Planner:
         filters = 0
         for t, offer in zip(triples, picks):
             tm = self.catalog.maps[offer.map]
-            predicate = RDF_TYPE if offer.index is None else tm.objects[offer.index].predicate
+            predicate = offer.several if offer.index == ANY else RDF_TYPE if offer.index is None else tm.objects[offer.index].predicate
             # maps of one table share a scan if the subject tells its rows apart
             rows = (tm.owner, tm.source, tm.subject.how, tm.subject.value) if tm.unique else (offer.map,)
             # a predicate asked twice pairs all its values, so it is read twice
@@ -291,14 +375,15 @@ class Planner:
                 place = len(parts) - 1
             scan, terms, _ = parts[place]
             scan.classes.update(tm.classes)
+            if offer.index == ANY:
+                filters += not isinstance(t.o, Var)
+                self.unfolded(scan, tm, offer, t, terms)
+                if scan.empty:
+                    return None
+                continue
             if isinstance(t.p, Var):
-                _match(scan, T.Term("iri", (scan.made(F.lit(predicate), "string"),), ("string",), ("", "")), t.p, terms)
-            if offer.index is None:
-                classes = [t.o.value] if isinstance(t.o, Iri) else list(tm.classes)
-                c = F.lit(classes[0]) if len(classes) == 1 else F.explode(F.array(*map(F.lit, classes)))
-                term = T.Term("iri", (scan.made(c, "string"),), ("string",), ("", ""))
-            else:
-                term = scan.object(tm.objects[offer.index])
+                _match(scan, scan.iris([predicate]), t.p, terms)
+            term = scan.iris([t.o.value] if isinstance(t.o, Iri) else list(tm.classes)) if offer.index is None else scan.object(tm.objects[offer.index])
             filters += not isinstance(t.o, Var)
             _match(scan, term, t.o, terms)
             if scan.empty:
@@ -316,8 +401,7 @@ class Planner:
                 scan, terms, _ = parts[0]
                 everywhere = {c for n in names for c in self.catalog.maps[n].classes}
                 if everywhere <= have:
-                    c = F.explode(F.array(*map(F.lit, sorted(have)))) if len(have) > 1 else F.lit(next(iter(have)))
-                    _match(scan, T.Term("iri", (scan.made(c, "string"),), ("string",), ("", "")), t.o, terms)
+                    _match(scan, scan.iris(sorted(have)), t.o, terms)
                 else:
                     found = self.one_type(t, names)
                     if found is None:
@@ -362,6 +446,42 @@ class Planner:
 
         return Alternative(terms, make, tuple(sorted({p.map for p in picks})), filters)
 
+    def unfolded(self, scan: Scan, tm: TriplesMap, offer: Offer, t: Triple, terms: dict[str, T.Term]) -> None:
+        """The triple of a variable predicate: every pair of predicate and object that a row has, from one reading of it."""
+        found: list[tuple[str, T.Term, Column]] = []
+        for i in offer.several:
+            if i is None:
+                wanted = [t.o.value] if isinstance(t.o, Iri) else tm.classes
+                found += [(RDF_TYPE, T.Term("iri", (scan.made(F.lit(c), "string"),), ("string",), ("", "")), F.lit(True)) for c in wanted]
+                continue
+            mark = len(scan.conditions)
+            term = scan.object(tm.objects[i])
+            there = F.lit(True)
+            for c in scan.conditions[mark:]:  # what makes no triple leaves the row's others
+                there = there & c
+            del scan.conditions[mark:]
+            if not isinstance(t.o, Var):
+                same = T.is_iri(term, t.o.value) if isinstance(t.o, Iri) else T.is_literal(term, t.o)
+                if same is None:
+                    continue
+                there = there & same
+            found.append((tm.objects[i].predicate, term, there))
+        if not found:
+            scan.empty = True
+            return
+        form = T.unified([term for _, term, _ in found])
+        pairs = [F.when(there, F.struct(F.lit(p).alias("p"), *[c.alias(f"o{k}") for k, c in enumerate(T.fitted(term, form))])) for p, term, there in found]
+        pair = scan.each(F.filter(F.array(*pairs), lambda x: x.isNotNull()), "struct")
+        scan.out.remove(pair)
+        names = [fresh() for _ in range(1 + len(form.types))]
+        for name, part, kind in zip(names, ["p", *[f"o{k}" for k in range(len(form.types))]], ["string", *form.types]):
+            scan.generated.append(T.column(pair).getField(part).alias(name))
+            scan.types[name] = kind
+            scan.out.append(name)
+        _match(scan, T.Term("iri", (names[0],), ("string",), ("", "")), t.p, terms)
+        if isinstance(t.o, Var):
+            _match(scan, replace(form, cols=tuple(names[1:]), certain=True), t.o, terms)
+
     def types_only(self, types: list[Triple], names: list[str]) -> Alternative | None:
         """A star of classes only: each subject once for each class, though several maps have it."""
         s = types[0].s
@@ -407,8 +527,7 @@ class Planner:
             terms: dict[str, T.Term] = {}
             _match(scan, scan.subject, s, terms)
             if isinstance(wanted, Var):
-                c = F.lit(classes[0]) if len(classes) == 1 else F.explode(F.array(*map(F.lit, classes)))
-                _match(scan, T.Term("iri", (scan.made(c, "string"),), ("string",), ("", "")), wanted, terms)
+                _match(scan, scan.iris(classes), wanted, terms)
             if not scan.empty:
                 parts.append((scan, terms))
         if not parts:
@@ -434,16 +553,15 @@ class Planner:
 
         Answers ``SELECT DISTINCT ?c { ?s a ?c }`` without reading more.
         """
-        from ..rml.model import LogicalSource
-
         out = fresh()
-        frames = []
+        frames, seen = [], set()
         for map_name, tm in self.catalog.maps.items():
             if any(po.predicate == RDF_TYPE for po in tm.objects):
                 return None
-            if tm.classes:
-                one = self.scan(map_name).frame().limit(1)
-                frames.append(one.select(F.explode(F.array(*map(F.lit, tm.classes))).alias(out)))
+            if set(tm.classes) - seen and self.has_rows(map_name):
+                seen.update(tm.classes)
+        if seen:
+            frames.append(self.spark.createDataFrame([(c,) for c in sorted(seen)], f"`{out}` string"))
         for source in self.catalog.rdf_sources():
             triples = self.rows(source, LogicalSource(source.name))
             frames.append(triples.where((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "uri")).select(F.col("o").alias(out)).distinct())
@@ -458,20 +576,27 @@ class Planner:
 
         return Alternative({name: T.Term("iri", (out,), ("string",), ("", ""))}, make, tuple(self.catalog.maps))
 
+    def has_rows(self, name: str) -> bool:
+        """Whether a map has any subject: one row of it tells. What has is kept with the frames, what has not is looked up again."""
+        if ("rows", name) not in self.loaded and not self.scan(name).frame().isEmpty():
+            self.loaded["rows", name] = True
+        return ("rows", name) in self.loaded
+
     # RDF sources
 
     def of_triples(self, triples: list[Triple], source: SourceSpec) -> Alternative:
         """A star over a triple table: one selection of it for each triple, joined on the subject."""
-        from ..rml.model import LogicalSource
-
-        base = self.rows(source, LogicalSource(source.name))
+        if is_endpoint(source) and len(dict.fromkeys(triples)) > 1:
+            return self.of_endpoint(Remote(source, tuple(dict.fromkeys(triples))))
         s = triples[0].s
+        # labels of blank nodes hold within their source
+        scope = f"{source.name}/" if len(self.catalog.rdf_sources()) > 1 else ""
         parts = []
         for t in triples:
             names = {c: fresh() for c in ("s", "p", "o")}
-            df, terms = base, {}
+            df, terms = self.triples_of(t, source), {}
             if isinstance(s, Iri):
-                df = df.where(F.col("s") == s.value)
+                df = df.where((F.col("s") == s.value) & (F.col("s_kind") == "uri"))
             if isinstance(t.p, Iri):
                 df = df.where(F.col("p") == t.p.value)
             if isinstance(t.o, Iri):
@@ -482,12 +607,17 @@ class Planner:
                 df = df.where((F.col("o").try_cast("double") == float(v) if number else F.col("o") == (str(v).lower() if isinstance(v, bool) else v)) & (F.col("o_kind") == "literal"))
                 if t.o.lang:
                     df = df.where(F.col("o_lang") == t.o.lang)
-            struct = F.struct(F.col("o_kind").alias("kind"), F.col("o").alias("value"), F.col("o_datatype").alias("datatype"), F.col("o_lang").alias("lang"))
-            iri_only = isinstance(t.p, Iri) and t.p.value == RDF_TYPE
-            df = df.select(F.col("s").alias(names["s"]), F.col("p").alias(names["p"]), (F.col("o") if iri_only else struct).alias(names["o"]))
-            subject = T.Term("iri", (names["s"],), ("string",), ("", ""))
+
+            def labelled(kind: Column, c: Column) -> Column:
+                return F.when(kind == "bnode", F.concat(F.lit(scope), c)).otherwise(c) if scope else c
+
+            none = F.lit(None).cast("string")
+            subject_ = F.struct(F.col("s_kind").alias("kind"), labelled(F.col("s_kind"), F.col("s")).alias("value"), none.alias("datatype"), none.alias("lang"))
+            object_ = F.struct(F.col("o_kind").alias("kind"), labelled(F.col("o_kind"), F.col("o")).alias("value"), F.col("o_datatype").alias("datatype"), F.col("o_lang").alias("lang"))
+            df = df.select(subject_.alias(names["s"]), F.col("p").alias(names["p"]), object_.alias(names["o"]))
+            subject = T.Term("mixed", (names["s"],), (T.MIXED,))
             conditions = []
-            for node, term in ((s, subject), (t.p, T.Term("iri", (names["p"],), ("string",), ("", ""))), (t.o, T.Term("iri", (names["o"],), ("string",), ("", "")) if iri_only else T.Term("mixed", (names["o"],), (T.MIXED,)))):
+            for node, term in ((s, subject), (t.p, T.Term("iri", (names["p"],), ("string",), ("", ""))), (t.o, T.Term("mixed", (names["o"],), (T.MIXED,)))):
                 if isinstance(node, Var):
                     if node.name in terms:
                         conditions.append(T.equal(terms[node.name], term))
@@ -520,6 +650,42 @@ class Planner:
 
         return Alternative(terms, make, (source.name,), sum(not isinstance(t.o, Var) for t in triples) + isinstance(s, Iri))
 
+    def triples_of(self, t: Triple, source: SourceSpec) -> DataFrame:
+        """The triples (see ``sources.triples.COLUMNS``) that may match; an endpoint is asked for these only."""
+        if not is_endpoint(source):
+            return self.rows(source, LogicalSource(source.name))
+        from ..sources.endpoint import read_endpoint
+
+        return read_endpoint(self.spark, source.url, **{**source.params, "pattern": Remote(source, (t,), self.filters).pattern_of_one()})
+
+    def of_endpoint(self, remote: Remote) -> Alternative:
+        """Triples that one endpoint answers together, as one query of its own."""
+        from ..sources.endpoint import read_select
+
+        cols = {v: fresh() for v in remote.vars()}
+
+        def make() -> DataFrame:
+            asked = replace(remote, filters=self.filters, wanted=self.wanted, distinct=self.distinct)
+            sent = asked.sent()
+            df = read_select(self.spark, remote.source.url, asked.text(), list(sent.values()), remote.source.params)
+            back = {v: F.col(x) for v, x in sent.items()}
+            label = F.lit(f"{remote.source.name}/")
+            scoped = len(self.catalog.rdf_sources()) > 1
+            none = F.lit(None).cast(T.MIXED)
+
+            def of(v: str) -> Column:
+                if v not in back:
+                    return none  # nothing else asks for it
+                x = back[v]
+                if not scoped:
+                    return x
+                return F.when(x.getField("kind") == "bnode", F.struct(x.getField("kind").alias("kind"), F.concat(label, x.getField("value")).alias("value"), x.getField("datatype").alias("datatype"), x.getField("lang").alias("lang"))).otherwise(x)
+
+            return df.select(*[of(v).alias(c) for v, c in cols.items()]) if cols else df.select(F.lit(1).alias(fresh()))
+
+        constants = sum(not isinstance(x, Var) for t in remote.triples for x in (t.s, t.o))
+        return Alternative({v: T.Term("mixed", (c,), (T.MIXED,)) for v, c in cols.items()}, make, (remote.source.name,), constants, remote=remote)
+
     # stars that no subject template and no RDF source answers alone
 
     def across(self, triples: list[Triple]) -> list[Alternative]:
@@ -532,12 +698,8 @@ class Planner:
             if not star.alternatives:
                 return []
             singles.append(star.alternatives)
-        s = triples[0].s
-        count = 1
-        for x in singles:
-            count *= len(x)
-        if count > MOST:
-            raise PlanError(f"{count} ways to answer the star of {s}")
+        if _product(singles) > MOST:
+            return [self.united(singles)]
         out = []
         for picked in itertools.product(*singles):
             terms: dict[str, T.Term] = {}
@@ -557,6 +719,13 @@ class Planner:
         return out
 
 
+def _product(of: list[list]) -> int:
+    out = 1
+    for x in of:
+        out *= len(x)
+    return out
+
+
 def _joined(picked, joins, terms):
     def make() -> DataFrame:
         df = None
@@ -596,6 +765,28 @@ def _may_be(term: TermMap, iri: str) -> bool:
     return iri.startswith(pieces[0]) and iri.endswith(pieces[-1])
 
 
+def merge_remote(stars: list[Star], planner: Planner) -> list[Star]:
+    """Stars that only one and the same endpoint answers, and that share variables, become one query to it."""
+    out: list[Star] = []
+    for star in stars:
+        only = star.alternatives[0].remote if len(star.alternatives) == 1 else None
+        if len(star.alternatives) == 1 and only is None:
+            source = next((x for x in planner.catalog.rdf_sources() if (x.name,) == star.alternatives[0].names and is_endpoint(x)), None)
+            only = Remote(source, tuple(dict.fromkeys(star.triples))) if source else None
+        if only is None:
+            out.append(star)
+            continue
+        for other in [x for x in out if len(x.alternatives) == 1 and isinstance(x.alternatives[0].remote, Remote)]:
+            theirs = other.alternatives[0].remote
+            if theirs.source is only.source and set(theirs.vars()) & set(only.vars()):
+                out.remove(other)
+                only = Remote(only.source, tuple(dict.fromkeys([*theirs.triples, *only.triples])))
+        alone = len(only.triples) == 1  # nothing to join with so far
+        made = replace(star.alternatives[0], remote=only) if alone else planner.of_endpoint(only)
+        out.append(Star(list(only.triples), [made]))
+    return out
+
+
 def prune(stars: list[Star]) -> None:
     """Drops alternatives whose terms for a shared variable fit no alternative of another star."""
     changed = True

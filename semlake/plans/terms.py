@@ -148,37 +148,44 @@ def _bypasses(term: Term) -> bool:
     return len(term.cols) == 1 and term.types[0] == "string"
 
 
-def equal(a: Term, b: Term) -> Column | None:
-    """A condition that two bound terms are the same; None if they never are."""
+def equal_keys(a: Term, b: Term) -> list[tuple[Column, Column]] | None:
+    """Pairs (of a, of b) of expressions that are equal exactly if two bound terms are the same; None if they never are."""
     if disjoint(a, b):
         return None
     if "mixed" in (a.kind, b.kind):
         if a.kind != "mixed":
-            a, b = b, a
+            return [(y, x) for x, y in equal_keys(b, a)]
         x = columns(a)[0]
+        kind, text = x.getField("kind"), x.getField("value")
         if b.kind == "mixed":
             y = columns(b)[0]
-            same = (x.getField("value") == y.getField("value")) & (x.getField("kind") == y.getField("kind"))
-            return same & x.getField("datatype").eqNullSafe(y.getField("datatype")) & x.getField("lang").eqNullSafe(y.getField("lang"))
+            none = F.lit("")
+            return [(text, y.getField("value")), (kind, y.getField("kind")), *((F.coalesce(x.getField(f), none), F.coalesce(y.getField(f), none)) for f in ("datatype", "lang"))]
         if b.kind == "literal":
-            if b.numeric():
-                return (x.getField("value").try_cast("double") == columns(b)[0].cast("double")) & (x.getField("kind") == "literal")
-            return (x.getField("value") == columns(b)[0].cast("string")) & (x.getField("kind") == "literal")
-        return (x.getField("value") == value(b)) & (x.getField("kind") == ("uri" if b.kind == "iri" else "bnode"))
+            same = (text.try_cast("double"), columns(b)[0].cast("double")) if b.numeric() else (text, columns(b)[0].cast("string"))
+            return [same, (kind, F.lit("literal"))]
+        return [(text, value(b)), (kind, F.lit("uri" if b.kind == "iri" else "bnode"))]
     if a.kind == "literal":
         x, y, s, t = columns(a)[0], columns(b)[0], a.types[0], b.types[0]
         if s == t or a.numeric() and b.numeric():
-            return x == y
+            return [(x, y)]
         if "string" in (s, t) and (a.numeric() or b.numeric()):
-            text, number = (x, y) if s == "string" else (y, x)
-            return text.try_cast("double") == number.cast("double")
-        return x.cast("string") == y.cast("string")
+            return [(x.try_cast("double"), y.cast("double")) if s == "string" else (x.cast("double"), y.try_cast("double"))]
+        return [(x.cast("string"), y.cast("string"))]
     if a.pieces == b.pieces and a.injective and b.injective:
-        out = None
-        for x, y in zip(columns(a), columns(b)):
-            out = x == y if out is None else out & (x == y)
-        return out
-    return value(a) == value(b)
+        return list(zip(columns(a), columns(b)))
+    return [(value(a), value(b))]
+
+
+def equal(a: Term, b: Term) -> Column | None:
+    """A condition that two bound terms are the same; None if they never are."""
+    pairs = equal_keys(a, b)
+    if pairs is None:
+        return None
+    out = None
+    for x, y in pairs:
+        out = x == y if out is None else out & (x == y)
+    return out
 
 
 def keys_of(term: Term, iri: str) -> tuple[str, ...] | None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from .engine import Engine
 from .lake import BASE, EX, engine, maps
 from .plans.catalog import Catalog
 from .rml.model import Join, LogicalSource, ObjectMap, PredicateObject, TermMap, TriplesMap, iri_map, ref
-from .scratch import shared_dir
+from .scratch import shared_path
 from .sources.graph import hop
 from .sources.registry import SourceSpec
 from .sources.triples import write_ntriples
@@ -95,6 +94,14 @@ SPARQL: dict[str, tuple[str, str]] = {
     "filter_sameterm": ("SELECT ?a ?b WHERE { ?x ex:inRegion ?r ; ex:name ?a . ?y ex:inRegion ?s ; ex:name ?b FILTER(sameTerm(?r, ?s) && ?a < ?b) }", "select a.n_name a, b.n_name b from nation a join nation b on a.n_regionkey = b.n_regionkey where a.n_name < b.n_name"),
     "filter_isiri_isliteral": ("SELECT ?n ?r WHERE { ?n ex:inRegion ?r ; ex:name ?m FILTER(isIRI(?r) && isLiteral(?m) && !isBlank(?r) && isURI(?n)) }", f"select {NATION} n, {iri('region', 'n_regionkey')} r from nation"),
     "filter_datatype": ("SELECT ?p WHERE { ?p ex:size ?s ; ex:price ?x FILTER(datatype(?s) = xsd:int && datatype(?x) = xsd:double && ?s > 45) }", f"select {PART} p from part where p_size > 45"),
+    "datatype_arith": ("SELECT ?p WHERE { ?p ex:size ?s ; ex:price ?x FILTER(datatype(?s + 1) = xsd:integer && datatype(?x * ?s) = xsd:double && datatype(?s / 2) = xsd:decimal && datatype(-?s) = xsd:integer && ?s > 40) }", f"select {PART} p from part where p_size > 40"),
+    "regex_invalid": ("SELECT ?n WHERE { ?x a ex:Nation ; ex:name ?n ; ex:inRegion ?r FILTER(regex(?n, '(') || regex(?n, '_[0-9]$', 'q') || ?n = 'NATION_3' || regex(?n, ?n) && ?r = <" + BASE + "/region/1>) }", "select n_name n from nation where n_name = 'NATION_3' or n_regionkey = 1"),
+    "var_predicate_join": ("SELECT ?n ?p ?name WHERE { ?n a ex:Nation ; ?p ?x . ?x a ex:Region ; ex:name ?name }", f"select {NATION} n, '{EX}inRegion' p, r_name as name from nation join region on n_regionkey = r_regionkey"),
+    "var_predicate_twice": (f"SELECT ?p ?o ?q ?r WHERE {{ <{BASE}/nation/3> ?p ?o ; ?q ?r }}", f"with x as (select 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' p, '{EX}Nation' o from nation where n_nationkey = 3 union all select '{EX}name', n_name from nation where n_nationkey = 3 union all select '{EX}inRegion', {iri('region', 'n_regionkey')} from nation where n_nationkey = 3) select a.p, a.o, b.p q, b.o r from x a, x b"),
+    "optional_right_may_lack": (
+        "SELECT ?d ?q ?l WHERE { ?d ex:toxic ?q OPTIONAL { ?d ex:lang ?l OPTIONAL { ?d ex:quality ?q } } }",
+        f"select 'http://ex.org/doc/' || t.doc_id d, t.toxic q, r.lang l from (select doc_id, toxic from labels where toxic is not null) t left join (select d.doc_id, d.lang, l.quality q from documents d left join labels l using (doc_id) where d.lang is not null) r on r.doc_id = t.doc_id and (r.q is null or r.q = t.toxic)",
+    ),
     "filter_lang_langmatches": ("SELECT ?n WHERE { ?x a ex:Region ; ex:name ?n FILTER(lang(?n) = '' && !langMatches(lang(?n), '*')) }", "select r_name n from region"),
     "cast_values": (
         "SELECT ?e ?v WHERE { ?e ex:k ?v ; ex:props ?p FILTER(xsd:integer(?v) >= 50 && xsd:double(?v) < 60 && xsd:string(?v) != '55' && xsd:boolean('true')) }",
@@ -151,7 +158,7 @@ def _sparql(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _copy(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/semlake/source-{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, f"source-{name}")
 
 
 def _nation_map(owner: str, table: str = "nation", iterator: str | None = None) -> TriplesMap:
@@ -194,6 +201,56 @@ def source_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, Catalog([SourceSpec("rdf", "ntriples", path)])).query(_NATION_QUERY).df
 
 
+def _nations_of_blank_regions(spark: SparkSession, sf_dir: str) -> Engine:
+    """Nations as IRIs whose regions are blank nodes, as N-Triples."""
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+
+    def rows(df, s, s_kind, p, o, o_kind):
+        return df.select(s.alias("s"), F.lit(s_kind).alias("s_kind"), F.lit(EX + p).alias("p"), o.alias("o"), F.lit(o_kind).alias("o_kind"))
+
+    n, label = F.concat(F.lit(f"{BASE}/nation/"), F.col("n_nationkey").cast("string")), lambda c: F.concat(F.lit("r"), F.col(c).cast("string"))
+    made = rows(nation, n, "uri", "in", label("n_regionkey"), "bnode").unionByName(rows(region, label("r_regionkey"), "bnode", "name", F.col("r_name"), "literal")).unionByName(rows(nation, n, "uri", "name", F.col("n_name"), "literal"))
+    path = _copy(spark, "nt")
+    write_ntriples(made, path)
+    return Engine(spark, Catalog([SourceSpec("rdf", "ntriples", path)]))
+
+
+def bnode_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join through blank nodes."""
+    return _nations_of_blank_regions(spark, sf_dir).query(PREFIXES + "SELECT ?n ?name WHERE { ?n ex:in ?b . ?b ex:name ?name }").df
+
+
+def filter_isblank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank nodes are neither IRIs nor literals, as subjects and as objects."""
+    return _nations_of_blank_regions(spark, sf_dir).query(PREFIXES + "SELECT ?n ?name WHERE { ?n ex:in ?b . ?x ex:name ?name FILTER(isBlank(?b) && !isIRI(?b) && isBlank(?x) && !isLiteral(?x) && isIRI(?n) && sameTerm(?b, ?x)) }").df
+
+
+def source_ntriples_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as literals, with quotes, tabs, line ends of both kinds, and characters beyond the basic plane, written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.concat("text", F.lit('\r\n\t"\\ \U0001F600'), F.repeat(F.lit("x"), F.lit(5000)))
+    rows = docs.select(F.concat(F.lit(f"{BASE}/doc/"), F.col("doc_id").cast("string")).alias("s"), F.lit(EX + "text").alias("p"), text.alias("o"), F.lit("literal").alias("o_kind"))
+    path = _copy(spark, "nt")
+    write_ntriples(rows.where("o is not null"), path)
+    out = Engine(spark, Catalog([SourceSpec("rdf", "ntriples", path)])).query(PREFIXES + "SELECT ?d ?t WHERE { ?d ex:text ?t }").df
+    return out.select("d", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("h"))
+
+
+def source_clashing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose columns are named as generated ones may be."""
+    from .plans.stars import PREFIX
+
+    names = [f"{p}{i}" for p in ("c", PREFIX, PREFIX.upper()) for i in range(0, 400, 37)]
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    table = nation.select("n_nationkey", *[(F.col("n_nationkey") * 1000 + i).alias(n) for i, n in enumerate(names) if n.lower() not in {x.lower() for x in names[:i]}])
+    used = [c for c in table.columns if c != "n_nationkey"]
+    tm = TriplesMap("t", LogicalSource("lake", table="t"), TermMap("template", BASE + "/nation/{n_nationkey}", "iri"), (EX + "T",), [PredicateObject(f"{EX}p{i}", ref(c)) for i, c in enumerate(used)], owner="lake")
+    e = Engine(spark, Catalog([SourceSpec("lake", "memory", frames={"t": table})], [tm]))
+    wanted = (0, 1, len(used) // 2, len(used) - 1)
+    out = e.query(PREFIXES + "SELECT * WHERE { " + " ".join(f"?n ex:p{i} ?v{i} ." for i in range(len(used))) + " }").df
+    return out.select("n", *[F.col(f"v{i}").alias(f"v{k}") for k, i in enumerate(wanted)])
+
+
 def source_federated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions from N-Triples, nations from CSV, suppliers from Parquet, in one query."""
     lake = engine(spark, sf_dir)
@@ -303,6 +360,10 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "source_xml": (_through("xml"), _NATION_SQL),
     "source_xml_nested": (source_xml_nested, f"select {iri('region', 'n_regionkey')} r, n_name n from nation"),
     "source_ntriples": (source_ntriples, _NATION_SQL),
+    "source_ntriples_long": (source_ntriples_long, f"with t as (select doc_id, text || chr(13) || chr(10) || chr(9) || '\"\\ ' || chr(128512) || repeat('x', 5000) t from documents where text is not null) select {DOC} d, length(t) n, md5(t) h from t"),
+    "source_clashing_columns": (source_clashing_columns, f"select {NATION} n, n_nationkey * 1000 v0, n_nationkey * 1000 + 1 v1, n_nationkey * 1000 + 11 v2, n_nationkey * 1000 + 21 v3 from nation"),
+    "bnode_join": (bnode_join, f"select {NATION} n, r_name as name from nation join region on n_regionkey = r_regionkey"),
+    "filter_isblank": (filter_isblank, f"select {NATION} n, r_name as name from nation join region on n_regionkey = r_regionkey"),
     "source_federated": (source_federated, f"select {SUPPLIER} s, n_name n, r_name m from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where s_acctbal > 0"),
     "source_parent_map": (source_parent_map, f"select {NATION} n, 'http://ex.org/place/' || replace(r_name, ' ', '_') r, r_regionkey k from nation join region on n_regionkey = r_regionkey"),
     "source_constant_object": (source_constant_object, f"select {REGION} r, 'continent' k, 'http://ex.org/earth' p from region"),

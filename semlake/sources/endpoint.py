@@ -43,6 +43,50 @@ class _Reader(DataSourceReader):
             yield s["value"], s["type"], b["p"]["value"], o["value"], kind, o.get("datatype"), o.get("xml:lang")
 
 
+class _SelectReader(DataSourceReader):
+    """Any SELECT, page by page in the order of all its variables."""
+
+    def __init__(self, options):
+        self.url, self.query, self.page = options["url"], options["query"], int(options.get("page", PAGE))
+        self.names = options["vars"].split()
+
+    def partitions(self):
+        total = int(ask(self.url, f"SELECT (COUNT(*) AS ?n) WHERE {{ {{ {self.query} }} }}")[0]["n"]["value"])
+        return [_Page(at, self.page) for at in range(0, max(total, 1), self.page)]
+
+    def read(self, part):
+        by = " ".join("?" + n for n in self.names)
+        for b in ask(self.url, f"{self.query} ORDER BY {by} LIMIT {part.size} OFFSET {part.offset}"):
+            yield tuple(_term(b.get(n)) for n in self.names)
+
+
+def _term(x: dict | None) -> tuple | None:
+    if x is None:
+        return None
+    return "literal" if x["type"] == "typed-literal" else x["type"], x["value"], x.get("datatype"), x.get("xml:lang")
+
+
+class SelectSource(DataSource):
+    """Options: url, query (a SELECT without ORDER BY, LIMIT, OFFSET), vars (its variables), page."""
+
+    @classmethod
+    def name(cls):
+        return "sparql_select"
+
+    def schema(self):
+        return ", ".join(f"`{n}` struct<kind:string,value:string,datatype:string,lang:string>" for n in self.options["vars"].split())
+
+    def reader(self, schema):
+        return _SelectReader(self.options)
+
+
+def read_select(spark: SparkSession, url: str, query: str, names: list[str], params: dict | None = None) -> DataFrame:
+    """A column for each variable of a query that the endpoint answers."""
+    spark.dataSource.register(SelectSource)
+    more = {k: v for k, v in (params or {}).items() if k == "page"}
+    return spark.read.format("sparql_select").options(url=url, query=query, vars=" ".join(names), **more).load()
+
+
 class EndpointSource(DataSource):
     """Options: url, pattern (a triple pattern over ?s ?p ?o), page."""
 

@@ -24,6 +24,26 @@ def _field(kind, name: str):
     return None
 
 
+def many(df: DataFrame, reference: str) -> bool:
+    """Whether ``reach`` makes several rows of one, or drops some: arrays or conditions are on the way."""
+    if reference in df.columns:
+        return False
+    steps = list(_STEP.finditer(reference.lstrip("$./")))
+    name = _field(df.schema, steps[0]["name"]) if steps else None
+    kind = df.schema[name].dataType if name else None
+    for i, step in enumerate(steps):
+        if i and isinstance(kind, T.StringType):
+            return False  # a path into JSON text gives one text
+        if i and isinstance(kind, T.MapType):
+            kind = kind.valueType
+        elif i:
+            field = _field(kind, step["name"]) if isinstance(kind, T.StructType) else None
+            kind = kind[field].dataType if field else None
+        if step["each"] or step["key"] or isinstance(kind, T.ArrayType):
+            return True
+    return False
+
+
 def reach(df: DataFrame, reference: str, out: str) -> tuple[DataFrame, T.DataType]:
     """``df`` with column ``out`` of what the reference leads to, and its type.
 

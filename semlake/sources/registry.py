@@ -32,6 +32,7 @@ class SourceSpec:
 
 Reader = Callable[[SparkSession, SourceSpec, LogicalSource], DataFrame]
 FORMATS: dict[str, Reader] = {}
+DATABASES = ("jdbc", "mysql", "postgresql", "sqlserver", "derby")
 
 
 def register_format(*names: str):
@@ -50,7 +51,7 @@ def load(spark: SparkSession, source: SourceSpec, logical: LogicalSource) -> Dat
     table = logical.table or logical.source
     if table in source.frames:
         return source.frames[table]
-    if logical.query and source.format not in ("jdbc", "mysql", "postgresql", "sqlserver"):
+    if logical.query and source.format.lower() not in DATABASES:
         return spark.sql(logical.query)
     if source.format.lower() not in FORMATS:
         raise ValueError(f"{source.name}: no reader for format {source.format!r}")
@@ -115,14 +116,14 @@ def _xml(spark, source, logical):
     return reader.xml(_path(source, logical, ".xml"))
 
 
-@register_format("jdbc", "mysql", "postgresql", "sqlserver")
+@register_format(*DATABASES)
 def _jdbc(spark, source, logical):
     """A table or query; ``partitionColumn`` with its bounds and ``numPartitions`` splits the read. The driver's jar must be there."""
     params = dict(source.params)
     params["user"] = params.pop("username", params.get("user", ""))
     url = source.url if source.url.startswith("jdbc:") else f"jdbc:{source.format.lower()}://{source.url}"
     reader = spark.read.format("jdbc").option("url", url).options(**params)
-    return (reader.option("query", logical.query) if logical.query else reader.option("dbtable", logical.table)).load()
+    return reader.option("dbtable", f"({logical.query}) of_map" if logical.query else logical.table or logical.source).load()
 
 
 @register_format("ntriples", "nt", "sparql_endpoint", "triples")
@@ -136,7 +137,7 @@ def _triples(spark, source, logical):
         from .endpoint import read_endpoint
 
         return read_endpoint(spark, source.url, **source.params)
-    return read_ntriples(spark, source.url or logical.source)
+    return read_ntriples(spark, source.url or logical.source, source.params.get("malformed", "fail"))
 
 
 def browse(spark: SparkSession, source: SourceSpec, logical: LogicalSource, n: int = 10) -> DataFrame:

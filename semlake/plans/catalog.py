@@ -13,7 +13,7 @@ from ..rml.model import TriplesMap, load_rml
 from ..sources.registry import SourceSpec, load
 from ..sparql.ast import RDF_TYPE
 
-# Namespaces whose classes describe other vocabularies rather than data.
+#: This package's own default: namespaces whose classes describe other vocabularies rather than data. A parameter wherever it is used.
 META_NAMESPACES = (
     "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#",
     "http://www.w3.org/2001/XMLSchema#", "http://www.w3.org/ns/sparql-service-description#", "http://www.openlinksw.com/schemas/virtrdf#",
@@ -206,10 +206,10 @@ class Catalog:
         return out.distinct()
 
 
-def molecules_of(triples: DataFrame) -> DataFrame:
-    """(class, predicate, range) of a triple table: range is a class of the objects, or null."""
+def molecules_of(triples: DataFrame, without: tuple[str, ...] = META_NAMESPACES) -> DataFrame:
+    """(class, predicate, range) of a triple table: range is a class of the objects, or null. Classes of the namespaces ``without`` are left out."""
     meta = F.lit(False)
-    for ns in META_NAMESPACES:
+    for ns in without:
         meta = meta | F.col("o").startswith(ns)
     types = triples.where((F.col("p") == RDF_TYPE) & ~meta).select(F.col("s").alias("x"), F.col("o").alias("class")).distinct()
     rest = triples.where(F.col("p") != RDF_TYPE).select("s", F.col("p").alias("predicate"), F.when(F.col("o_kind") != "literal", F.col("o")).alias("o"))
@@ -226,6 +226,82 @@ def links_between(triples: DataFrame, others: DataFrame) -> DataFrame:
     return objects.join(types, objects["s"] == types["x"]).join(there, objects["o"] == there["y"]).select("class", "predicate", "to").distinct()
 
 
+RDFS = "http://www.w3.org/2000/01/rdf-schema#"
+
+
+def molecules_of_ontology(triples: DataFrame) -> DataFrame:
+    """(class, predicate, range) that an ontology states: properties with ``rdfs:domain`` and ``rdfs:range``, also those of the
+    domain's superclasses. ``range`` is null for literals and where none is stated."""
+    from ..sparql.ast import XSD
+
+    def of(p: str, a: str, b: str) -> DataFrame:
+        return triples.where((F.col("p") == RDFS + p) & (F.col("o_kind") == "uri")).select(F.col("s").alias(a), F.col("o").alias(b)).distinct()
+
+    domain, ranges, parents = of("domain", "predicate", "class"), of("range", "predicate", "range"), of("subClassOf", "sub", "class")
+    # superclasses of superclasses: the hierarchy's depth bounds the rounds, and each round's pairs are new
+    known = domain
+    while True:
+        down = parents.join(known, "class").select("predicate", F.col("sub").alias("class")).distinct()
+        new = down.join(known, ["predicate", "class"], "left_anti")
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+    stated = ranges.where(~F.col("range").startswith(XSD) & (F.col("range") != RDFS + "Literal"))
+    return known.join(stated, "predicate", "left").select("class", "predicate", "range").distinct()
+
+
+#: The namespace of this package's own metadata graphs; others are named by the caller.
+LAKE = "http://ex.org/lake#"
+
+
+def catalog_of_graph(triples: DataFrame, vocabulary: str = LAKE) -> Catalog:
+    """A catalog that a metadata graph describes.
+
+    Of ``vocabulary``: classes are RDFMT with ``source`` (that has a ``datasource``) and ``hasProperty`` (that has a
+    ``predicate`` and, through ``linkedTo``, an ``rdfmt``); sources are DataSource with ``url`` and ``dataSourceType``. Only
+    names of classes, predicates and sources come to the driver.
+    """
+    p = lambda name, a, b: triples.where(F.col("p") == vocabulary + name).select(F.col("s").alias(a), F.col("o").alias(b)).distinct()
+    of_type = lambda name, a: triples.where((F.col("p") == RDF_TYPE) & (F.col("o") == vocabulary + name)).select(F.col("s").alias(a)).distinct()
+    found = of_type("DataSource", "id").join(p("url", "id", "url"), "id").join(p("dataSourceType", "id", "kind"), "id", "left")
+    sources = [SourceSpec(r["id"], (r["kind"] or "sparql_endpoint").rpartition("/")[2].rpartition("#")[2].lower(), r["url"]) for r in found.toLocalIterator()]
+    linked = p("linkedTo", "property", "link").join(p("rdfmt", "link", "range"), "link").select("property", "range")
+    rows = of_type("RDFMT", "class").join(p("source", "class", "source"), "class").join(p("datasource", "source", "datasource"), "source")
+    rows = rows.join(p("hasProperty", "class", "property"), "class").join(p("predicate", "property", "predicate"), "property").join(linked, "property", "left")
+    out = Catalog(sources)
+    for r in rows.select("class", "datasource", "predicate", "range").distinct().toLocalIterator():
+        there = {r["range"]} if r["range"] else set()
+        out.add_molecule(Molecule(r["class"], {r["predicate"]: there}, set(there), {r["datasource"]: {r["predicate"]}}))
+    return out
+
+
+def graph_of_catalog(spark: SparkSession, catalog: Catalog, vocabulary: str = LAKE) -> DataFrame:
+    """The catalog's molecules and sources as a triple table that ``catalog_of_graph`` reads again."""
+    from ..sources.triples import triple_frame
+
+    uri, text = lambda x: ("uri", x, None, None), lambda x: ("literal", x, None, None)
+    out = []
+    for s in catalog.sources.values():
+        at = uri(s.name)
+        out += [(at, RDF_TYPE, uri(vocabulary + "DataSource")), (at, vocabulary + "url", text(s.url)), (at, vocabulary + "dataSourceType", text(s.format))]
+    merged: dict[str, Molecule] = {}
+    for m in [*catalog.molecules.values(), *catalog.derived().values()]:
+        merged.setdefault(m.root, Molecule(m.root)).merge(m)
+    for m in merged.values():
+        at = uri(m.root)
+        out.append((at, RDF_TYPE, uri(vocabulary + "RDFMT")))
+        for i, (name, ps) in enumerate(sorted(m.sources.items())):
+            source = uri(f"{m.root}/source/{i}")
+            out += [(at, vocabulary + "source", source), (source, vocabulary + "datasource", uri(name))]
+        for i, (predicate, ranges) in enumerate(sorted(m.predicates.items())):
+            prop = uri(f"{m.root}/property/{i}")
+            out += [(at, vocabulary + "hasProperty", prop), (prop, vocabulary + "predicate", uri(predicate))]
+            for k, r in enumerate(sorted(ranges)):
+                link = uri(f"{m.root}/property/{i}/{k}")
+                out += [(prop, vocabulary + "linkedTo", link), (link, vocabulary + "rdfmt", uri(r))]
+    return triple_frame(spark, out)
+
+
 def _shape(term) -> str:
     """A template without the names of its columns."""
     return "{}".join(term.pieces()[0])

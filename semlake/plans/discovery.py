@@ -9,19 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from ..rml.model import LogicalSource
 from ..sources.registry import load
 from . import terms as T
-from .catalog import Catalog, Molecule, links_between, molecules_of
+from .catalog import META_NAMESPACES, Catalog, Molecule, links_between, molecules_of, molecules_of_ontology
 from .stars import Scan
 
 
-def discover(spark: SparkSession, catalog: Catalog, links: bool = True) -> Catalog:
+def discover(spark: SparkSession, catalog: Catalog, links: bool = True, without: tuple[str, ...] = META_NAMESPACES, ontologies: dict[str, DataFrame] | None = None) -> Catalog:
     """Adds to the catalog the molecules of its RDF sources, and what links classes of different sources.
 
-    Only names of classes and predicates come to the driver, never instances.
+    A source with an entry in ``ontologies`` (triple tables by source) has the classes and predicates that its ontology states
+    instead of those looked up in its data. Only names of classes and predicates come to the driver, never instances.
     """
     tables = {s.name: load(spark, s, LogicalSource(s.name)) for s in catalog.rdf_sources()}
     for name, triples in tables.items():
         found: dict[str, Molecule] = {}
-        for r in molecules_of(triples).toLocalIterator():
+        stated = molecules_of_ontology(ontologies[name]) if ontologies and name in ontologies else molecules_of(triples, without)
+        for r in stated.toLocalIterator():
             m = found.setdefault(r["class"], Molecule(r["class"]))
             m.predicates.setdefault(r["predicate"], set()).update([r["range"]] if r["range"] else [])
             m.links.update([r["range"]] if r["range"] else [])

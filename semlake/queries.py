@@ -340,17 +340,70 @@ def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_join_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks with the same user's purchases up to an hour apart, by the join that streams use."""
+    """Clicks with the same user's purchases up to an hour apart: a stream-stream join of the events as files, run until all are read."""
     from .streaming import stream_join
 
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    clicks = events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click"), F.col("ts").alias("at"))
-    bought = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase"), F.col("ts").alias("then"))
-    return stream_join(clicks, bought, ["user_id"], "at", "then").select("user_id", "click", "purchase")
-
-
-_LINKS = [("Nation", "inRegion", "Region"), ("Supplier", "ofNation", "Nation"), ("Party", "ofNation", "Nation"), ("Customer", "ofNation", "Nation"), ("Order", "by", "Customer"), ("Order", "by", "Party")]
-_CLASSES = [("Region", 1), ("Nation", 2), ("Customer", 4), ("Party", 4), ("Supplier", 3), ("Part", 5), ("Order", 5), ("LineItem", 10), ("Event", 6), ("Document", 6), ("Page", 2), ("Turn", 2), ("Item", 1), ("Vector", 2)]
+    kept = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    into, out, state = (_copy(spark, x) for x in ("events", "pairs", "state"))
+    kept.write.parquet(into)
+
+    def of(kind: str, name: str, at: str) -> DataFrame:
+        events = spark.readStream.schema(kept.schema).parquet(into)
+        return events.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), F.col("ts").alias(at))
+
+    pairs = stream_join(of("click", "click", "at"), of("purchase", "purchase", "then"), ["user_id"], "at", "then").select("user_id", "click", "purchase")
+    run = pairs.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    return spark.read.schema(pairs.schema).parquet(out)
+
+
+def catalog_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, predicates and ranges of a catalog that was written as a metadata graph and read from it again."""
+    from .plans.catalog import catalog_of_graph, graph_of_catalog
+
+    some = [m for m in maps() if m.name in ("region", "nation", "supplier")]
+    known = graph_of_catalog(spark, Catalog([SourceSpec("lake", "parquet", sf_dir)], some))
+    again = catalog_of_graph(known)
+    rows = [(m.root, p, r) for m in again.molecules.values() for p, ranges in m.predicates.items() for r in (ranges or {None})]
+    return spark.createDataFrame(rows, "class string, predicate string, range string")
+
+
+def _exists(table: str, condition: str) -> str:
+    return f"exists(select 1 from {table} where {condition})"
+
+
+# (class, predicate, a table and a condition that some row has it): what the data itself says of the classes
+_TOLD = [
+    (classes, predicate, table, f"{column} is not null")
+    for classes, table, columns in (
+        ("Region", "region", {"name": "r_name"}), ("Nation", "nation", {"name": "n_name", "inRegion": "n_regionkey"}),
+        ("Customer Party", "customer", {"name": "c_name", "acctbal": "c_acctbal", "segment": "c_mktsegment", "ofNation": "c_nationkey"}), ("Supplier Party", "supplier", {"name": "s_name", "acctbal": "s_acctbal", "ofNation": "s_nationkey"}),
+        ("Part", "part", {"name": "p_name", "brand": "p_brand", "ptype": "p_type", "size": "p_size", "price": "p_retailprice"}), ("Order", "orders", {"status": "o_orderstatus", "total": "o_totalprice", "date": "o_orderdate", "priority": "o_orderpriority", "by": "o_custkey"}),
+        ("LineItem", "lineitem", {"ofOrder": "l_orderkey", "ofPart": "l_partkey", "ofSupplier": "l_suppkey", "qty": "l_quantity", "extprice": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "flag": "l_returnflag", "linestatus": "l_linestatus", "shipped": "l_shipdate"}),
+        ("Event", "events", {"etype": "event_type", "value": "value", "ts": "ts", "user": "user_id", "props": "props", "k": "json_extract_string(props, '$.k')"}),
+        ("Document", "documents", {"text": "text", "lang": "lang", "source": "source", "nchars": "n_chars"}), ("Document", "labels", {"quality": "quality", "toxic": "toxic"}),
+        ("Page", "pages", {"url": "url", "html": "html"}), ("Turn", "conversations", {"role": "role", "text": "text"}), ("Item", "benchmark", {"text": "text"}), ("Vector", "embeddings", {"label": "label", "component": "embedding[1]"}),
+    )
+    for predicate, column in columns.items()
+]
+_CLASSES_SQL = "select class, count(distinct predicate) predicates from (" + " union all ".join(f"select '{EX}{c}' class, '{p}' predicate where {_exists(t, w)}" for cs, p, t, w in _TOLD for c in cs.split()) + ") group by class"
+_LINKS_SQL = " union all ".join(
+    f"""select '{EX}{a}' class, '{EX}{p}' predicate, '{EX}{b}' "to" where {_exists(t, w)}"""
+    for a, p, b, t, w in (
+        ("Nation", "inRegion", "Region", "nation join region on n_regionkey = r_regionkey", "true"), ("Supplier", "ofNation", "Nation", "supplier join nation on s_nationkey = n_nationkey", "true"),
+        ("Party", "ofNation", "Nation", "supplier join nation on s_nationkey = n_nationkey", "true"), ("Customer", "ofNation", "Nation", "customer join nation on c_nationkey = n_nationkey", "true"),
+        ("Order", "by", "Customer", "orders join customer on o_custkey = c_custkey", "true"), ("Order", "by", "Party", "orders join customer on o_custkey = c_custkey", "true"),
+    )
+)
+_MOLECULES_SQL = (
+    f"select distinct '{EX}Nation' class, '{EX}name' predicate, null range from nation join region on n_regionkey = r_regionkey where n_name is not null"
+    f" union all select distinct '{EX}Nation', '{EX}inRegion', '{EX}Region' from nation join region on n_regionkey = r_regionkey"
+)
+_RANGES = {"inRegion": "Region", "ofNation": "Nation"}
+_GRAPH_SQL = " union all ".join(
+    f"select '{EX}{c}' class, '{EX}{p}' predicate, {r} range where {_exists(t, w)}"
+    for cs, p, t, w in _TOLD if t in ("region", "nation", "supplier") for c in cs.split() for r in [f"'{EX}{_RANGES[p]}'" if p in _RANGES else "null"]
+)
 
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "source_csv": (_through("csv"), _NATION_SQL),
@@ -369,10 +422,11 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "source_constant_object": (source_constant_object, f"select {REGION} r, 'continent' k, 'http://ex.org/earth' p from region"),
     "group_collect_set": (group_collect_set, f"select {iri('customer', 'o_custkey')} c from orders where o_orderpriority in ('1-URGENT', '5-LOW') group by o_custkey having count(distinct o_orderpriority) = 2"),
     "property_graph_hop": (property_graph_hop, "select 'http://ex.org/node/c' || c_custkey c, n_name n from customer join nation on c_nationkey = n_nationkey where c_name = 'Customer#000000011'"),
-    "catalog_classes": (catalog_classes, "select * from (values " + ", ".join(f"('{EX}{c}', cast({n} as bigint))" for c, n in _CLASSES) + ") t(class, predicates)"),
-    "catalog_links": (catalog_links, "select * from (values " + ", ".join(f"('{EX}{a}', '{EX}{p}', '{EX}{b}')" for a, p, b in _LINKS) + ') t(class, predicate, "to")'),
+    "catalog_classes": (catalog_classes, _CLASSES_SQL),
+    "catalog_links": (catalog_links, _LINKS_SQL),
+    "catalog_graph": (catalog_graph, _GRAPH_SQL),
     "catalog_statistics": (catalog_statistics, f"select '{EX}Region' class, '{EX}name' predicate, count(*) triples from region union all select '{EX}Nation', '{EX}name', count(*) from nation union all select '{EX}Nation', '{EX}inRegion', count(*) from nation union all select '{EX}Document', '{EX}quality', count(quality) from labels union all select '{EX}Document', '{EX}toxic', count(toxic) from labels"),
-    "triples_molecules": (triples_molecules, f"select * from (values ('{EX}Nation', '{EX}name', null), ('{EX}Nation', '{EX}inRegion', '{EX}Region')) t(class, predicate, range)"),
+    "triples_molecules": (triples_molecules, _MOLECULES_SQL),
     "stream_join_events": (stream_join_events, "select c.user_id, c.event_id click, p.event_id purchase from events c join events p using (user_id) where c.event_type = 'click' and p.event_type = 'purchase' and p.ts between c.ts - interval 1 hour and c.ts + interval 1 hour"),
 }
 

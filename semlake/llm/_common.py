@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import shared_dir
+from ..scratch import drop_shared, shared_path
 
-#: Rows of a batch of texts.
-TEXT_ROWS = 1000
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Rows, and bytes, of texts that are taken up at once.
+TEXT_ROWS, TEXT_BYTES = 1000, 8 << 20
 
 
 def written(df: DataFrame, name: str, codec: str = "uncompressed") -> DataFrame:
@@ -22,24 +18,23 @@ def written(df: DataFrame, name: str, codec: str = "uncompressed") -> DataFrame:
     before, and fixes values that would differ between two evaluations. Hashes and
     numbers gain little by a codec, whose buffers are outside of the heap; texts get one.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/semlake/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """``written``, and how many of the rows fulfil the condition (all without one), counted while they are written.
+
+    A task that runs twice may be counted twice: the number tells none from some.
+    """
+    seen = Observation()
+    n = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    return written(df.observe(seen, n.alias("n")), name), seen.get["n"]
 
 
-@atexit.register
-def drop_written() -> None:
-    """Remove the tables written so far; frames that still read them end here."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may have ended already
-            pass
+#: Removes the tables written so far.
+drop_written = drop_shared
 
 
 def col(name: str) -> Column:
@@ -58,17 +53,36 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _pieces(batch):
+    """A batch in slices of bounded rows and bytes; a row of more bytes is a slice of its own."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    sizes = np.zeros(n, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while at < n:
+        fits = int(np.searchsorted(upto, upto[at] + TEXT_BYTES, side="right")) - 1
+        end = min(max(fits, at + 1), at + TEXT_ROWS, n)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_texts(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` for rows that hold whole texts.
 
-    Rows go to Python in batches; the session's batch size is lowered to ``TEXT_ROWS``
-    if it is larger, as a batch of long texts is in memory several times over.
+    Spark bounds its batches by bytes; ``run`` gets them in smaller slices, as what Python makes of a
+    batch of texts is in memory several times over. The session's settings stay as they are.
     """
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(size)) <= TEXT_ROWS:
-        conf.set(size, str(TEXT_ROWS))
-    return df.mapInArrow(run, schema)
+
+    def sliced(batches):
+        yield from run(piece for batch in batches for piece in _pieces(batch))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def keys(*of: Column) -> list[Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import counted, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,18 +19,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     no vertex's neighbours meet in one task.
     """
     least, most = F.least(a, b), F.greatest(a, b)
-    left = written(edges.select(least.alias("a"), most.alias("b")).where("a <> b").distinct(), "edges")
+    left, n = counted(edges.select(least.alias("a"), most.alias("b")).where("a <> b").distinct(), "edges")
     roots = None
-    while not left.isEmpty():
+    while n:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("root")), "pointers")
-        while True:
+        moved = 1
+        while moved:
             far = to.select(F.col("v").alias("root"), F.col("root").alias("next"))
-            to = written(to.join(far, "root").select("v", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "pointers")
-            moved = not to.where("moved").isEmpty()
+            to, moved = counted(to.join(far, "root").select("v", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "pointers", F.col("moved"))
             to = to.drop("moved")
-            if not moved:
-                break
         if roots is None:
             roots = to
         else:
@@ -39,7 +37,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         ends = left
         for end in ("a", "b"):
             ends = ends.join(to.select(F.col("v").alias(end), F.col("root").alias("to_" + end)), end)
-        left = written(ends.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct(), "edges")
+        left, n = counted(ends.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct(), "edges")
     if roots is None:
         return left.select(F.col("a").alias("v"), F.col("b").alias("root"))
     return roots

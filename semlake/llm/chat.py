@@ -1,54 +1,97 @@
-"""Chat formatting: a hidden Markov model recovers who speaks, then turns are rendered.
-
-States are roles, observations are features of a transcript's line or turn (the
-speaker marker that it begins with, length, number of lines, how it ends).
-Probabilities are counted over all rows with a known role. Viterbi runs over
-conversations of any length: a conversation is cut into stretches, each
-stretch is reduced to the best score from each role before it to each role at
-its end, these small matrices are chained per conversation, and each stretch
-is then decoded between the roles that the chain has fixed. That is exact,
-and no task holds more than a stretch, or a conversation's matrices.
+"""Chat formatting: a hidden Markov model parses transcripts into turns, which are then rendered.
+
+Every text is split into lines. States are a role and whether a line begins what
+that role says or goes on with it; observations are a line's boundary (a
+speaker marker, or that a row begins there), length, opening and ending.
+Probabilities are counted over all rows of a known role; what markers mean is
+known beforehand and makes half of the boundary's probabilities, so that a
+corpus without markers does not unlearn them. Viterbi decides the lines of a
+conversation together, and the runs of one role within a row become turns.
+
+Conversations may have any length: one is cut into stretches of whole rows, each
+stretch is reduced to the best score from each state before it to each state at
+its end, and these small matrices are multiplied first within a partition
+and then across partitions. Top down, the best path then fixes the states
+between partitions, between stretches, and within each stretch. That is exact,
+and no task holds more than a stretch, a partition's matrices, or one
+matrix of each partition.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import col, map_texts, table, written
 
 STATES = ("system", "user", "assistant")
-#: Rows of a stretch at most.
+#: A role begins to speak, or goes on.
+LINE_STATES = tuple((role, inside) for role in STATES for inside in (False, True))
+#: Lines of a stretch at most, unless one row has more.
 STRETCH = 4096
-#: What a speaker is called at the start of a line.
-MARKERS = (
-    ("user", r"(?i)^\s*(?:#+\s*)?(?:user|human|you|question|q)\s*[:>]\s*"),
-    ("assistant", r"(?i)^\s*(?:#+\s*)?(?:assistant|bot|ai|answer|a)\s*[:>]\s*"),
-    ("system", r"(?i)^\s*(?:#+\s*)?(?:system|instructions?)\s*[:>]\s*"),
-)
-FEATURES = ("marker", "length", "lines", "ending")
-
-
-def observe(text: Column) -> dict[str, Column]:
-    """Small integers, one for each feature."""
-    marker = F.lit(0)
-    for i, (_, pattern) in enumerate(MARKERS, 1):
-        marker = F.when(text.rlike(pattern), i).otherwise(marker)
-    n = F.length(text)
-    length = F.when(n == 0, 0).otherwise(F.least(F.floor(F.log2(n + 1)), F.lit(14)))
-    lines = F.least(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))), F.lit(7))
-    ending = F.when(text.rlike(r"\?\s*$"), 1).when(text.rlike(r"[.!]\s*$"), 2).when(text.rlike(r"[:;,]\s*$"), 3).otherwise(0)
-    return {"marker": marker.cast("int"), "length": length.cast("int"), "lines": lines.cast("int"), "ending": ending.cast("int")}
+# What a speaker is called at the start of a line.
+MARKERS = {
+    "system": r"^\s*(?:#+\s*)?(?:system|instructions?)\s*[:>]\s*",
+    "user": r"^\s*(?:#+\s*)?(?:user|human|you|question|q)\s*[:>]\s*",
+    "assistant": r"^\s*(?:#+\s*)?(?:assistant|bot|ai|answer|a)\s*[:>]\s*",
+}
+#: A line's features and how many values each has. Boundary: nothing, a row begins, or the marker of a role.
+FEATURES = {"boundary": 2 + len(STATES), "length": 15, "opening": 4, "ending": 4}
+#: Of the boundary's probabilities, the share that is known beforehand; lines that what is usual counts for in each state.
+KNOWN, FEW = 0.5, 5
+#: The share of a feature's probabilities that is what is usual, so that no state has unheard-of lines to itself.
+USUAL = 0.1
+#: How often a marker stands where its role does not begin.
+MISTAKEN = 1e-6
+_OPEN, _END = "<|{}|>\n", "\n<|end|>\n"
+
+
+def observe(text: Column) -> Column:
+    """An integer for each line of the text: its features, packed."""
+
+    def one(line: Column, i: Column) -> Column:
+        boundary = F.when(i == 0, 1).otherwise(0)
+        for k, role in enumerate(STATES):
+            boundary = F.when(line.rlike("(?i)" + MARKERS[role]), 2 + k).otherwise(boundary)
+        n = F.length(line)
+        length = F.when(n == 0, 0).otherwise(F.least(F.floor(F.log2(n + 1)), F.lit(14)))
+        opening = F.when(line.rlike(r"^[a-zß-ÿ]"), 1).when(line.rlike(r"^\s*(?:[-*+>#|]|\d+[.)])"), 2).when(line.rlike(r"^\s"), 3).otherwise(0)
+        ending = F.when(line.rlike(r"\?\s*$"), 1).when(line.rlike(r"[.!]\s*$"), 2).when(line.rlike(r"[:;,]\s*$"), 3).otherwise(0)
+        out = F.lit(0)
+        for c, size in zip((boundary, length, opening, ending), FEATURES.values()):
+            out = out * size + c
+        return out.cast("int")
+
+    return F.transform(F.split(text, "\n", -1), one)
+
+
+def unpacked(codes) -> dict:
+    """The features of packed integers, as arrays."""
+    import numpy as np
+
+    codes, out = np.asarray(codes, np.int64), {}
+    for name, size in reversed(FEATURES.items()):
+        out[name] = codes % size
+        codes = codes // size
+    return out
 
 
 def ordered(turns: DataFrame, conv_col: str, order_col: str, text_col: str, role_col: str | None, stretch: int = STRETCH) -> DataFrame:
-    """(conv, turn, text, role, features, stretch, i), written: rows in order, cut into stretches.
+    """(conv, turn, text, role, lines, stretch, lead, i, before), written: rows in order, cut into stretches.
 
-    The order is by conversation, turn (nulls first) and text; a range partitioning keeps
-    a conversation of any length spread over tasks.
+    The order is by conversation, turn (nulls first) and a hash of the text; a range partitioning
+    keeps a conversation of any length spread over tasks. ``lead`` is the first stretch of the
+    conversation in its partition; ``before`` is the state (packed, -1: unknown role, -2: a conversation
+    or partition begins) of the line before the row.
     """
     text = F.coalesce(col(text_col), F.lit(""))
-    rows = turns.select(col(conv_col).alias("conv"), col(order_col).alias("turn"), col(text_col).alias("text"), (col(role_col) if role_col else F.lit(None)).cast("string").alias("role"), *[c.alias(k) for k, c in observe(text).items()])
+    role = (col(role_col) if role_col else F.lit(None)).cast("string")
+    known = F.lit(-1)
+    for k, r in enumerate(STATES):
+        known = F.when(role == r, k).otherwise(known)
+    rows = turns.select(col(conv_col).alias("conv"), col(order_col).alias("turn"), text.alias("text"), known.cast("int").alias("role"), observe(text).alias("lines"))
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("copy", F.monotonically_increasing_id())
     by = ["conv", "turn", "tie", "copy"]
     rows = rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("tie", "copy")
@@ -56,79 +99,132 @@ def ordered(turns: DataFrame, conv_col: str, order_col: str, text_col: str, role
 
     def number(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() << 40
-        count, i, last, begun = -1, 0, None, False
+        count, lead, i, held, last, state, begun = -1, 0, 0, 0, None, -2, False
         for batch in batches:
-            stretches, places = [], []
-            for conv in batch.column(0).to_pylist():
-                if not begun or conv != last or i >= stretch:
-                    count, i, last, begun = count + 1, 0, conv, True
-                stretches.append(part | count)
-                places.append(i)
-                i += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stretches, pa.int64()), pa.array(places, pa.int32())], [*batch.schema.names, "stretch", "i"])
-
-    return written(map_texts(rows, number, shape + ", stretch long, i int"), "turns", "zstd")
+            made = []
+            sizes = pc.list_value_length(batch.column(4)).to_pylist()
+            for conv, role, n in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), sizes):
+                new = not begun or conv != last
+                if new or held + n > stretch:
+                    count, i, held = count + 1, 0, 0
+                if new:
+                    lead, last, state, begun = part | count, conv, -2, True
+                made.append((part | count, lead, i, state))
+                i, held, state = i + 1, held + n, -1 if role < 0 else 2 * role + (n > 1)
+            extra = [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "stretch", "lead", "i", "before"])
+
+    return written(map_texts(rows, number, shape + ", stretch long, lead long, i int, before int"), "turns", "zstd")
+
+
+def learn(rows: DataFrame) -> dict:
+    """Log probabilities {start, step, emit} counted over the lines of rows whose role is known.
+
+    What comes to the driver is bounded by the states and the features' values.
+    """
+    import numpy as np
 
+    known = rows.where(F.col("role") >= 0)
+    states = len(LINE_STATES)
+    each = known.select("role", F.posexplode("lines").alias("at", "code")).groupBy((F.col("role") * 2 + (F.col("at") > 0).cast("int")).alias("state"), "code").count()
+    emit = {name: np.zeros((states, size)) for name, size in FEATURES.items()}
+    for r in each.toLocalIterator():
+        for name, v in unpacked([r["code"]]).items():
+            emit[name][r["state"], v[0]] += r["count"]
+    step, start = np.full((states, states), 1e-6), np.full(states, 1e-6)
+    step[:, ::2] += 1  # who begins to speak may follow on anyone
+    start[::2] += 1
+    for k in range(len(STATES)):
+        step[2 * k : 2 * k + 2, 2 * k + 1] += 1
+    within = known.groupBy("role").agg(F.sum((F.size("lines") > 1).cast("long")).alias("first"), F.sum(F.greatest(F.size("lines") - 2, F.lit(0)).cast("long")).alias("further")).collect()
+    for r in within:
+        step[2 * r["role"], 2 * r["role"] + 1] += r["first"]
+        step[2 * r["role"] + 1, 2 * r["role"] + 1] += r["further"]
+    for r in known.where("before >= 0").groupBy("before", "role").count().collect():
+        step[r["before"], 2 * r["role"]] += r["count"]
+    # the first rows of partitions: one row for each, which the last row of the partition before precedes
+    part = F.shiftright("stretch", 40)
+    last = F.struct("stretch", "i")
+    ends = written(rows.groupBy(part.alias("part")).agg(F.max(last).alias("at"), F.max_by("conv", last).alias("conv"), F.max_by(F.when(F.col("role") < 0, -1).otherwise(F.col("role") * 2 + (F.size("lines") > 1).cast("int")), last).alias("state")), "ends")
+    heads = rows.where((F.col("before") == -2) & (F.col("stretch") == F.shiftleft(part, 40)) & (F.col("i") == 0)).select(part.alias("part"), F.col("conv").alias("its"), "role")
+    order = Window.orderBy("part")
+    seen = ends.withColumn("conv0", F.lag("conv").over(order)).withColumn("state0", F.lag("state", 1, -2).over(order)).join(heads, "part")
+    seen = seen.select("role", F.when((F.col("state0") != -2) & F.col("conv0").eqNullSafe(F.col("its")), F.col("state0")).otherwise(-2).alias("state0"))
+    for r in seen.groupBy("state0", "role").count().collect():
+        if r["role"] >= 0 and r["state0"] >= 0:
+            step[r["state0"], 2 * r["role"]] += r["count"]
+        elif r["role"] >= 0 and r["state0"] == -2:
+            start[2 * r["role"]] += r["count"]
+    inner = rows.where((F.col("before") == -2) & ~((F.col("stretch") == F.shiftleft(part, 40)) & (F.col("i") == 0)) & (F.col("role") >= 0))
+    for r in inner.groupBy("role").count().collect():
+        start[2 * r["role"]] += r["count"]
+    for name, x in emit.items():
+        # a state of few lines has the features of all lines, and of a boundary what is known
+        usual = _boundaries() if name == "boundary" else np.tile((x.sum(axis=0) + 1) / (x.sum() + x.shape[1]), (states, 1))
+        emit[name] = (x + FEW * usual) / (x.sum(axis=1, keepdims=True) + FEW)
+        share = KNOWN if name == "boundary" else USUAL
+        emit[name] = share * usual + (1 - share) * emit[name]
+    return {"start": np.log(start / start.sum()), "step": np.log(step / step.sum(axis=1, keepdims=True)), "emit": {k: np.log(x) for k, x in emit.items()}}
+
+
+def _boundaries():
+    """The boundary's probabilities as far as they are known beforehand: a marker begins what its role says."""
+    import numpy as np
 
-def learn(rows: DataFrame, states=STATES) -> dict:
-    """Log probabilities {start, step, emit} counted over the rows whose role is a state, with one added to each count.
+    out = np.full((len(LINE_STATES), FEATURES["boundary"]), MISTAKEN)
+    for k, (role, inside) in enumerate(LINE_STATES):
+        if inside:
+            out[k, 0], out[k, 1] = 1, 0.001
+        else:
+            out[k, 0], out[k, 1], out[k, 2 + STATES.index(role)] = 0.002, 0.5, 0.5
+    return out / out.sum(axis=1, keepdims=True)
 
-    Steps between stretches of one conversation count like those within.
-    """
-    import math
-
-    known = rows.where(F.col("role").isin(*states))
-    seen = known.select("role", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in FEATURES])).alias("x")).groupBy("role", "x.f", "x.v").count().collect()
-    within = Window.partitionBy("stretch").orderBy("i")
-    inner = rows.select("role", F.lag("role").over(within).alias("before")).groupBy("before", "role").count().where("before is not null").collect()
-    ends = rows.groupBy("conv", "stretch").agg(F.min_by("role", "i").alias("first"), F.max_by("role", "i").alias("last"))
-    chain = Window.partitionBy("conv").orderBy("stretch")
-    outer = written(ends.select("first", F.lag("last").over(chain).alias("before"), (F.row_number().over(chain) == 1).alias("opens")), "ends")
-    crossed = outer.where("not opens").groupBy("before", F.col("first").alias("role")).count().collect()
-    opened = {r["first"]: r["count"] for r in outer.where("opens").groupBy("first").count().collect()}
-    n = len(states)
-    start = [opened.get(s, 0) + 1 for s in states]
-    step = [[1.0] * n for _ in states]
-    at = {s: i for i, s in enumerate(states)}
-    for r in [*inner, *crossed]:
-        if r["before"] in at and r["role"] in at:
-            step[at[r["before"]]][at[r["role"]]] += r["count"]
-    size = {"marker": len(MARKERS) + 1, "length": 15, "lines": 8, "ending": 4}
-    emit = {f: [[1.0] * size[f] for _ in states] for f in FEATURES}
-    for r in seen:
-        emit[r["f"]][at[r["role"]]][r["v"]] += r["count"]
-    log = lambda xs: [math.log(x / sum(xs)) for x in xs]
-    return {"start": log(start), "step": [log(x) for x in step], "emit": {f: [log(x) for x in emit[f]] for f in FEATURES}}
-
-
-def scores(model: dict, observed: dict):
-    """Log probability of each row's features under each state: rows by states."""
-    import numpy as np
 
-    return sum(np.array(model["emit"][f])[:, np.asarray(observed[f])].T for f in FEATURES)
+def scores(model: dict, codes):
+    """Log probability of each line's features under each state: lines by states."""
+    return sum(model["emit"][name][:, v].T for name, v in unpacked(codes).items())
 
 
 def matrix(model: dict, emitted, opens: bool):
     """Best score from each state before a stretch to each state at its end; for a conversation's first stretch all rows are its start's."""
     import numpy as np
 
-    step = np.array(model["step"])
-    best = np.tile(np.array(model["start"]), (len(step), 1)) if opens else step.copy()
-    best = best + emitted[0]
+    step = model["step"]
+    best = (np.tile(model["start"], (len(step), 1)) if opens else step) + emitted[0]
     for e in emitted[1:]:
         best = (best[:, :, None] + step[None]).max(axis=1) + e
     return best
 
 
-def viterbi(model: dict, emitted, before: int = -1, end: int = -1) -> list[int]:
-    """The best states; ``before`` is the state before the first row (-1: a conversation's start), ``end`` the last row's (-1: free)."""
-    import numpy as np
+def times(a, b):
+    """The max-plus product: from before the first to the end of the second."""
+    return (a[:, :, None] + b[None]).max(axis=1)
+
+
+def through(matrices: list, before: int, end: int) -> list[tuple[int, int]]:
+    """(state before, state at the end) of each matrix on the best path; ``before`` -1: any, ``end`` -1: free."""
+    best, back = matrices[0][max(before, 0)], []
+    for m in matrices[1:]:
+        to = best[:, None] + m
+        back.append(to.argmax(axis=0))
+        best = to.max(axis=0)
+    at = int(best.argmax()) if end < 0 else end
+    ends = [at]
+    for b in reversed(back):
+        at = int(b[at])
+        ends.append(at)
+    ends.reverse()
+    return list(zip([before, *ends[:-1]], ends))
+
 
-    step = np.array(model["step"])
-    best = (np.array(model["start"]) if before < 0 else step[before]) + emitted[0]
+def viterbi(model: dict, emitted, before: int = -1, end: int = -1) -> list[int]:
+    """The best states; ``before`` is the state before the first line (-1: a conversation's start), ``end`` the last line's (-1: free)."""
+    step = model["step"]
+    best = (model["start"] if before < 0 else step[before]) + emitted[0]
     back = []
     for e in emitted[1:]:
         to = best[:, None] + step
@@ -161,85 +257,131 @@ def _stretches(batches):
         yield pa.Table.from_batches([x for _, x in held])
 
 
-def recover(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text", role_col: str | None = "role", model: dict | None = None, stretch: int = STRETCH) -> DataFrame:
-    """(``conv_col``, ``order_col``, role, rendered) for each row: the role that Viterbi gives it, and the canonical turn.
-
-    ``role_col`` is only used to learn from (null or another name: not learned from);
-    ``model`` comes from ``learn`` or is learned from these rows. The canonical turn is
-    ``<|role|>``, the text without its speaker marker and outer blanks, ``<|end|>``, by lines.
-
-    Null texts are empty lines. A null conversation is one conversation. Rows of
-    equal turns are ordered by a hash of their text; repeated rows each have their
-    place. Other columns are not looked at. No rows, no result.
-    """
-    rows = ordered(turns, conv_col, order_col, text_col, role_col, stretch)
-    model = model or learn(rows)
-    # conversations of more than one stretch: chain their matrices
+def _fixed(rows: DataFrame, model: dict) -> DataFrame:
+    """(stretch, before, end), written: the states around each stretch of the conversations that have several."""
     sizes = rows.groupBy("conv").agg(F.min("stretch").alias("head"), F.max("stretch").alias("tail"))
     sizes = written(sizes.where("head < tail"), "long")
-    on = rows["conv"].eqNullSafe(sizes["conv"])
-    long = rows.join(sizes, on).select(rows["conv"], "stretch", "i", (F.col("stretch") == F.col("head")).alias("opens"), *FEATURES)
+    long = rows.join(sizes, rows["conv"].eqNullSafe(sizes["conv"])).select(rows["conv"], "stretch", "lead", "i", (F.col("stretch") == F.col("head")).alias("opens"), "lines")
     kind = rows.schema["conv"].dataType.simpleString()
-    sort = lambda df: df.repartition("stretch").sortWithinPartitions("stretch", "i")
+    n = len(LINE_STATES)
 
     def reduce(batches):
         import pyarrow as pa
 
         for t in _stretches(batches):
-            emitted = scores(model, {f: t.column(f).to_numpy() for f in FEATURES})
-            m = matrix(model, emitted, t.column("opens")[0].as_py())
-            yield pa.RecordBatch.from_arrays([t.column("conv").slice(0, 1).combine_chunks(), pa.array([t.column("stretch")[0].as_py()]), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], ["conv", "stretch", "m"])
-
-    reduced = written(map_texts(sort(long), reduce, f"conv {kind}, stretch long, m array<double>"), "matrices")
+            codes = t.column("lines").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            m = matrix(model, scores(model, codes), t.column("opens")[0].as_py())
+            yield pa.RecordBatch.from_arrays([t.column("conv").slice(0, 1).combine_chunks(), pa.array([t.column("stretch")[0].as_py()]), pa.array([t.column("lead")[0].as_py()]), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], ["conv", "stretch", "lead", "m"])
 
-    def chain(pdf):
+    def matrices(pdf) -> list:
         import numpy as np
+
+        return [np.asarray(m, float).reshape(n, n) for m in pdf["m"]]
+
+    def block(pdf):
+        import functools
+
         import pandas as pd
 
         pdf = pdf.sort_values("stretch")
-        n = len(model["start"])
-        best, back = None, []
-        for m in pdf["m"]:
-            m = np.asarray(m, float).reshape(n, n)
-            if best is None:
-                best = m[0]
-            else:
-                to = best[:, None] + m
-                back.append(to.argmax(axis=0))
-                best = to.max(axis=0)
-        at = int(best.argmax())
-        ends = [at]
-        for b in reversed(back):
-            at = int(b[at])
-            ends.append(at)
-        ends = ends[::-1]
-        return pd.DataFrame({"stretch": pdf["stretch"], "before": [-1, *ends[:-1]], "end": ends})
-
-    fixed = written(reduced.groupBy("conv").applyInPandas(chain, "stretch long, before int, end int"), "fixed")
-    placed = rows.join(fixed, "stretch", "left").select("conv", "turn", "text", "stretch", "i", *FEATURES, F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("end", F.lit(-1)).alias("end"))
-    order = rows.schema["turn"].dataType.simpleString()
+        return pd.DataFrame({"lead": pdf["lead"].iloc[:1], "m": [functools.reduce(times, matrices(pdf)).ravel().tolist()]})
+
+    def top(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("lead")
+        return pd.DataFrame([(lead, a, b) for lead, (a, b) in zip(pdf["lead"], through(matrices(pdf), -1, -1))], columns=["lead", "before", "end"])
+
+    def down(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("stretch")
+        found = through(matrices(pdf), int(pdf["before"].iloc[0]), int(pdf["end"].iloc[0]))
+        return pd.DataFrame([(s, a, b) for s, (a, b) in zip(pdf["stretch"], found)], columns=["stretch", "before", "end"])
+
+    reduced = written(map_texts(_sorted(long), reduce, f"conv {kind}, stretch long, lead long, m array<double>"), "matrices")
+    blocks = reduced.groupBy("lead").applyInPandas(block, "lead long, m array<double>")
+    of = reduced.select("lead", "conv").dropDuplicates(["lead"])
+    tops = written(blocks.join(of, "lead").groupBy("conv").applyInPandas(top, "lead long, before int, end int"), "tops")
+    return written(reduced.join(tops, "lead").groupBy("lead").applyInPandas(down, "stretch long, before int, end int"), "fixed")
+
+
+def _sorted(df: DataFrame) -> DataFrame:
+    return df.repartition("stretch").sortWithinPartitions("stretch", "i")
+
+
+def escaped(text: str) -> str:
+    """Text in which nothing reads as a turn's mark: ``<|`` gets a backslash, as does ``<\\|`` and so on."""
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text)
+
+
+def rendered(role: str, text: str) -> str:
+    return _OPEN.format(role) + escaped(text) + _END
+
+
+def parsed(turns: str) -> list[tuple[str, str]]:
+    """(role, text) of rendered turns: what ``rendered`` was given."""
+    found = re.findall(r"<\|(\w+)\|>\n(.*?)\n<\|end\|>\n", turns, re.S)
+    return [(role, re.sub(r"<(\\*)\\\|", r"<\1|", text)) for role, text in found]
+
+
+_STRIP = {role: re.compile(p, re.I | re.A) for role, p in MARKERS.items()}
+
+
+def turns_of(lines: list[str], codes, path: list[int]) -> list[tuple[str, int, str]]:
+    """(role, number of lines, text) of each run of one role: markers taken off, blanks at both ends too."""
+    marks = unpacked(codes)["boundary"] - 2
+    out: list[tuple[str, list[str]]] = []
+    for line, mark, state in zip(lines, marks.tolist(), path):
+        role = LINE_STATES[state][0]
+        if mark >= 0 and STATES[mark] == role:
+            line = _STRIP[role].sub("", line, count=1)
+        if not out or out[-1][0] != role:
+            out.append((role, []))
+        out[-1][1].append(line)
+    return [(role, len(said), "\n".join(said).strip()) for role, said in out]
+
+
+def recover(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text", role_col: str | None = "role", model: dict | None = None, stretch: int = STRETCH) -> DataFrame:
+    """(``conv_col``, ``order_col``, part, role, n_lines, rendered): the turns of each row, numbered from 0 by ``part``.
+
+    A row is a message, or a whole transcript of several speakers (then one row, one
+    conversation). Its lines get their roles by Viterbi over the conversation, and each
+    run of one role in it is a turn: ``<|role|>``, the text without speaker markers and
+    outer blanks, ``<|end|>``, by lines. Marks inside of the text are escaped; ``parsed`` undoes that.
+
+    ``role_col`` is only used to learn from (null or another name: not learned from);
+    ``model`` comes from ``learn`` or is learned from these rows.
+
+    Null texts are one empty line, so each row has one turn at least. A null conversation is one conversation. Rows of
+    equal turns are ordered by a hash of their text; repeated rows each have their
+    place. Long texts are parsed whole. Other columns are not looked at. No rows, no result.
+    """
+    rows = ordered(turns, conv_col, order_col, text_col, role_col, stretch)
+    model = model or learn(rows)
+    placed = rows.join(_fixed(rows, model).withColumnRenamed("before", "from"), "stretch", "left").select("conv", "turn", "text", "stretch", "i", "lines", F.coalesce("from", F.lit(-1)).alias("from"), F.coalesce("end", F.lit(-1)).alias("end"))
+    kind, order = (rows.schema[c].dataType.simpleString() for c in ("conv", "turn"))
 
     def decode(batches):
+        import numpy as np
         import pyarrow as pa
 
         for t in _stretches(batches):
-            emitted = scores(model, {f: t.column(f).to_numpy() for f in FEATURES})
-            path = viterbi(model, emitted, t.column("before")[0].as_py(), t.column("end")[0].as_py())
-            for b in t.select(["conv", "turn", "text"]).append_column("role", pa.array([STATES[s] for s in path], pa.string())).to_batches():
-                yield b
-
-    out = map_texts(sort(placed), decode, f"conv {kind}, turn {order}, text string, role string")
-    said = F.coalesce("text", F.lit(""))
-    for _, pattern in MARKERS:
-        said = F.when(F.coalesce("text", F.lit("")).rlike(pattern), F.regexp_replace(F.coalesce("text", F.lit("")), pattern, "")).otherwise(said)
-    rendered = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.trim(said), F.lit("\n<|end|>\n"))
-    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(order_col), "role", rendered.alias("rendered"))
-
-
-def lines_of(transcripts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(``id_col``, turn, text): the lines of whole transcripts that are not blank, numbered, for ``recover``."""
-    rows = transcripts.select(col(id_col).alias(id_col), F.posexplode(F.split(F.coalesce(col(text_col), F.lit("")), "\n")).alias("turn", "text"))
-    return rows.where(F.trim("text") != "")
+            each = [np.asarray(x) for x in t.column("lines").to_pylist()]
+            path = viterbi(model, scores(model, np.concatenate(each)), t.column("from")[0].as_py(), t.column("end")[0].as_py())
+            at, rows_, out = 0, [], []
+            for k, (text, codes) in enumerate(zip(t.column("text").to_pylist(), each)):
+                said = turns_of(text.split("\n"), codes, path[at : at + len(codes)])
+                at += len(codes)
+                rows_ += [k] * len(said)
+                out += [(p, role, n, rendered(role, x)) for p, (role, n, x) in enumerate(said)]
+            keys = t.select(["conv", "turn"]).take(pa.array(rows_, pa.int64())).combine_chunks()
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.string())
+            columns = [keys.column(c).combine_chunks() if keys.num_rows else pa.array([], keys.schema.field(c).type) for c in ("conv", "turn")]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["conv", "turn", "part", "role", "n_lines", "rendered"])
+
+    out = map_texts(_sorted(placed), decode, f"conv {kind}, turn {order}, part int, role string, n_lines int, rendered string")
+    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(order_col), "part", "role", "n_lines", "rendered")
 
 
 def op6_chat_format(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,3 @@
-import itertools
 import random
 
 from semlake.llm import chat, decontaminate, media, quality, token_counts, url_filter
@@ -82,34 +81,6 @@ def test_boosted_trees_learn():
     assert right >= 485
 
 
-def test_viterbi_by_brute_force_and_in_stretches(spark):
-    rng = random.Random(3)
-    rows = []
-    for conv in range(6):
-        for turn in range(rng.choice([1, 3, 8, 25])):
-            role = "system" if turn == 0 and conv % 2 else ("user", "assistant")[turn % 2]
-            rows.append((conv, turn, ("Human: q?" if rng.random() < 0.3 else "why?") if role == "user" else "x. " * rng.randint(1, 60), role))
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, text string, role string")
-    whole = {(r.conv_id, r.turn): r.role for r in chat.recover(turns).collect()}
-    for stretch in (1, 4):
-        assert {(r.conv_id, r.turn): r.role for r in chat.recover(turns, stretch=stretch).collect()} == whole
-    ordered = chat.ordered(turns, "conv_id", "turn", "text", "role")
-    model = chat.learn(ordered)
-    by = {}
-    for r in ordered.orderBy("conv", "turn").collect():
-        by.setdefault(r.conv, []).append(r)
-    for conv, lines in by.items():
-        if len(lines) > 8:
-            continue
-        e = chat.scores(model, {f: [getattr(r, f) for r in lines] for f in chat.FEATURES})
-
-        def total(path):
-            return model["start"][path[0]] + sum(model["step"][a][b] for a, b in zip(path, path[1:])) + sum(e[i][s] for i, s in enumerate(path))
-
-        best = max(itertools.product(range(3), repeat=len(lines)), key=total)
-        assert [whole[conv, r.turn] for r in lines] == [chat.STATES[s] for s in best]
-
-
 def test_chat_recovers_roles(spark):
     turns = spark.read.parquet(f"{MEDIUM}/conversations.parquet")
     out = chat.recover(turns).withColumnRenamed("role", "got").join(turns, ["conv_id", "turn"])

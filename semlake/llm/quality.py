@@ -1,15 +1,22 @@
 """Quality classifier: a weak-label model over heuristic labellers, and a hashed linear scorer.
 
 Labellers vote bad (-), good (+) or abstain (0) on two questions, whether a text is
-junk and whether it is toxic. Expectation-maximisation over the counts of vote
-patterns estimates how often each labeller is right on bad and on good texts, and how
-common bad texts are; labellers err independently given the truth. The posterior
+junk and whether it is toxic. Bad texts are of several kinds, one that each heuristic labeller is made for, so a labeller may be
+silent on texts that are bad in another way. Expectation-maximisation over the counts of vote
+patterns estimates how each labeller votes on each kind and on good texts, and how
+common they are; labellers err independently given the kind. What a labeller does on
+texts that are annotated as good is the prior of its rates there and weighs as much as all texts together, and the annotator is a labeller with an
+error rate of its own; no rate is bounded. Two labellers of toxic texts, of whatever
+language, are learned: words, and word starts, that annotated toxic texts have and others
+have not, each learned on one half of the texts and voting on the other. The posterior
 labels of a bounded sample of documents train two linear scorers over hashed
 words, word starts and shapes, which judge every document.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +27,19 @@ BITS = 17
 PREFIX = 6
 #: Documents that the scorers are trained on at most: annotated ones first, by hash. All documents count for the labellers.
 SAMPLE = 16_000
-#: Share of a heuristic's bad votes that are right at least; keeps kinds of junk with few votes in common together.
-LEAST = 0.9
-#: Share of an annotator's votes that are wrong at most.
-WRONG = 0.005
+#: Before anything is known: the annotator's share of wrong votes; how often a heuristic votes on the kind of bad texts it is
+#: made for, on other kinds, and on good texts; how many texts each of the first two counts for; and the share of bad texts.
+WRONG, OWN, OTHER, GOOD, FEW, BAD = 0.01, 0.9, 0.1, 0.005, 20, 0.1
+#: Bytes of features that are trained on at most.
+FEATURE_BYTES = 256 << 20
+#: Entries of a learned lexicon at most, texts that must have one, and the share of these that are toxic at least.
+LEXICON, LEAST_TEXTS, TELLING = 4000, 4, 0.9
 EPOCHS = 4
 #: Words of a window in which different words are counted, so that long texts are judged as short ones are.
 WINDOW = 400
 AXES = ("junk", "toxic")
 JUNK = ("symbols", "shouting", "one word", "marks", "letters", "repeats", "runs", "annotator")
-TOXIC = ("insults", "annotator")
+TOXIC = ("insults", "words", "starts", "annotator")
 # Common English insults.
 INSULTS = frozenset(
     b"asshole bastard bastards bitch clown clowns disgusting dumb filth fool fools hate idiot idiots idiotic imbecile liar loser losers moron morons moronic "
@@ -79,14 +89,22 @@ def signs(s: dict) -> tuple[bool, ...]:
     return (s["symbols"] >= 0.5, enough and s["upper"] >= 0.5, enough and s["top"] >= 0.4, s["marks"] >= 0.4, enough and s["letters"] <= 0.55, s["fresh"] < 0.3, enough and s["runs"] >= 0.04)
 
 
-def votes(text: bytes, shape: dict | None = None) -> tuple[str, str]:
-    """The labellers' votes on junk and on toxic, without the annotators'; a text without words gets no vote."""
+def starts_of(words: set) -> set:
+    """The first ``PREFIX`` bytes of longer words, as compounds and inflected forms share them."""
+    return {w[:PREFIX] for w in words if len(w) > PREFIX}
+
+
+def votes(text: bytes, shape: dict | None = None, lexicons: tuple = (frozenset(), frozenset())) -> tuple[str, str]:
+    """The labellers' votes on junk and on toxic, without the annotators'; a text without words gets no vote.
+
+    ``lexicons`` are the words and the word starts that tell toxic texts.
+    """
     s = shape or shapes(text)
     if not s["n"]:
         return "0" * (len(JUNK) - 1), "0" * (len(TOXIC) - 1)
-
     junk = "".join("-" if x else "0" for x in signs(s))
-    toxic = "-" if lowered(s["words"]) & INSULTS else "0"
+    words = lowered(s["words"])
+    toxic = "".join("-" if x else "0" for x in (words & INSULTS, len(words & lexicons[0]) > 1, starts_of(words) & lexicons[1]))
     return junk, toxic
 
 
@@ -104,54 +122,120 @@ def buckets(text: bytes, shape: dict | None = None):
     words = lowered(s["words"])
     if words & INSULTS:
         told.append(b"=insult")
-    starts = {b"^" + w[:PREFIX] for w in words if len(w) > PREFIX}  # of words that are compounds or inflected
+    starts = {b"^" + w for w in starts_of(words)}
     found = [*map(crc32, words), *map(crc32, starts), *map(crc32, told)]
     return np.unique(np.fromiter(found, np.int64, len(found)) & ((1 << BITS) - 1)).astype(np.int32)
 
 
-def estimate(patterns: dict[str, int], trusted: tuple[int, ...] = (), rounds: int = 100, least: float = LEAST) -> tuple[float, list[dict]]:
-    """Expectation-maximisation over counts of vote patterns: the share of bad texts, and for each
-    labeller the shares (of bad texts, of good texts) that get each vote, abstentions included.
+@dataclass(frozen=True)
+class Prior:
+    """Where expectation-maximisation begins and what it goes by: pseudo-counts [labeller, vote, class] and shares of the classes, the first of which is good."""
+
+    counts: object
+    shares: object
+
+
+VOTES = "-+0"
+
+
+def plain_prior(labellers: int) -> Prior:
+    """Of labellers of whom nothing is known: one kind of bad texts, on which they vote bad far more often than on good ones."""
+    import numpy as np
 
-    The start says that labellers vote bad on bad texts far more often than on good ones,
-    which fixes which class is which. The ``trusted`` labellers are held to be wrong
-    in ``WRONG`` of their votes at most, the others to be right in ``least`` of their bad votes (0: no such bound). Without a pattern the share is 0.
+    start = np.array([[0.01, 0.5], [0.6, 0.1], [0.39, 0.4]])
+    return Prior(np.tile(start, (labellers, 1, 1)), np.array([1 - BAD, BAD]))
+
+
+def anchors(patterns: dict[str, int]) -> Prior:
+    """The prior of heuristic labellers and an annotator, who votes last: a kind of bad texts for each heuristic.
+
+    A heuristic's rates on good texts are those on texts annotated as good; the annotator's shares of votes are those seen,
+    wrong in ``WRONG`` of them. Both count for as many texts as there are, so they weigh the same at any size.
     """
-    k = max(map(len, patterns), default=0)
-    rates = [{"-": (0.5, 0.01), "+": (0.1, 0.6), "0": (0.4, 0.39)} for _ in range(k)]
-    total = sum(patterns.values())
+    import numpy as np
+
+    k, total = max(map(len, patterns), default=0), sum(patterns.values())
+    good = {p: n for p, n in patterns.items() if p[-1] == "+"}
+    n_good, judged = sum(good.values()), sum(n for p, n in patterns.items() if p[-1] != "0")
+    kinds = max(k - 1, 1)
+    counts = np.empty((k, 3, 1 + kinds))
+    for j in range(k - 1):
+        said = sum(n for p, n in good.items() if p[j] == "-")
+        rate = (said + GOOD) / (n_good + 1)
+        counts[j, :, 0] = np.array([rate, 1e-4, 1 - rate]) * total * (1 - BAD)
+        for c in range(kinds):
+            rate = OWN if c == j else OTHER
+            counts[j, :, 1 + c] = np.array([rate, 1e-4, 1 - rate]) * FEW
+    told = (judged + 0.5) / (total + 1)  # a text is judged or not, whatever it is
+    counts[k - 1, :, 0] = np.array([told * WRONG, told * (1 - WRONG), 1 - told]) * total * (1 - BAD)
+    counts[k - 1, :, 1:] = np.array([told * (1 - WRONG), told * WRONG, 1 - told])[:, None] * total * BAD / kinds
+    return Prior(counts, np.array([1 - BAD, *[BAD / kinds] * kinds]))
+
+
+class Estimate:
+    """``share`` of bad texts; ``rates``: for each labeller the shares (of bad texts, of good texts) that get each vote. Unpacks to the two."""
+
+    def __init__(self, shares, table):
+        import numpy as np
+
+        self.shares, self.table = shares, table
+        self.share = float(1 - shares[0])
+        bad = table[:, :, 1:] @ (shares[1:] / max(shares[1:].sum(), 1e-300))
+        self.rates = [{v: (float(bad[j, i]), float(table[j, i, 0])) for i, v in enumerate(VOTES)} for j in range(len(table))]
+        self._log = np.log(table)
+
+    def __iter__(self):
+        return iter((self.share, self.rates))
+
+    def bad(self, pattern: str) -> float:
+        """The probability that a text of these votes is bad."""
+        return float(1 - _classes(self._log, self.shares, _coded([pattern]))[0, 0])
+
+
+def _coded(patterns):
+    import numpy as np
+
+    return np.array([[VOTES.index(v) for v in p] for p in patterns], np.int64).reshape(len(patterns), -1)
+
+
+def _classes(log, shares, codes):
+    """The probability of each class for each pattern."""
+    import numpy as np
+
+    z = np.log(np.maximum(shares, 1e-300)) + sum(log[j][codes[:, j]] for j in range(codes.shape[1]))
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
+
+
+def estimate(patterns: dict[str, int], prior: Prior | None = None, rounds: int = 100, least: float = 0.0) -> Estimate:
+    """Expectation-maximisation over counts of vote patterns, to rates of the largest posterior probability under the prior.
+
+    Callers who know that a labeller is right in a share of its bad votes may say so by ``least`` (0: no such bound).
+    Without a pattern no text is bad.
+    """
+    import numpy as np
+
+    k, total = max(map(len, patterns), default=0), sum(patterns.values())
+    prior = prior or plain_prior(k)
+    table = prior.counts / prior.counts.sum(axis=1, keepdims=True) if k else np.empty((0, 3, 2))
     if not total:
-        return 0.0, rates
-    prior = 0.1
+        return Estimate(np.array([1.0, *[0.0] * (len(prior.shares) - 1)]), table)
+    codes, n = _coded(patterns), np.array(list(patterns.values()), float)
+    shares = prior.shares
     for _ in range(rounds):
-        bad = {p: posterior(p, prior, rates) for p in patterns}
-        n_bad = sum(bad[p] * n for p, n in patterns.items())
-        n_good = total - n_bad
-        prior = min(max(n_bad / total, 1e-4), 0.9)
+        of = _classes(np.log(table), shares, codes) * n[:, None]
+        shares = (of.sum(axis=0) + prior.shares) / (total + 1)
+        counts = prior.counts.copy()
         for j in range(k):
-            of = {v: [sum(n * bad[p] for p, n in patterns.items() if p[j] == v) + 0.5, sum(n * (1 - bad[p]) for p, n in patterns.items() if p[j] == v) + 0.5] for v in "-+0"}
-            if j in trusted:
-                for right, wrong, c in (("-", "+", 0), ("+", "-", 1)):
-                    voted = of[right][c] + of[wrong][c]
-                    of[wrong][c] = min(of[wrong][c], WRONG * voted)
-                    of[right][c] = voted - of[wrong][c]
-            else:
-                said = sum(of["-"])
-                of["-"][1] = min(of["-"][1], (1 - least) * said)
-                of["-"][0] = said - of["-"][1]
-            rates[j] = {v: (of[v][0] / (n_bad + 1.5), of[v][1] / (n_good + 1.5)) for v in "-+0"}
-    return prior, rates
-
-
-def posterior(pattern: str, prior: float, rates: list[dict]) -> float:
-    """The probability that a text of these votes is bad."""
-    from math import exp, log
-
-    z = log(prior / (1 - prior)) if 0 < prior < 1 else -9.0
-    for vote, rate in zip(pattern, rates):
-        bad, good = rate[vote]
-        z += log(bad / good)
-    return 1 / (1 + exp(-max(min(z, 30), -30)))
+            for v in range(3):
+                counts[j, v] += of[codes[:, j] == v].sum(axis=0)
+            if least:
+                said = counts[j, 0].sum()
+                good = min(counts[j, 0, 0], (1 - least) * said)
+                counts[j, 0, 1:] *= (said - good) / max(counts[j, 0, 1:].sum(), 1e-300)
+                counts[j, 0, 0] = good
+        table = counts / counts.sum(axis=1, keepdims=True)
+    return Estimate(shares, table)
 
 
 def train(features: list, target: list[float], epochs: int = EPOCHS, alpha: float = 0.4, l1: float = 1.0, l2: float = 1.0):
@@ -186,36 +270,76 @@ class Scorer:
         return tuple(float(self.weights[a][at].sum() + self.weights[a][-1]) if text.split(None, 1) else -1.0 for a in AXES)
 
 
+def _lexicons(rows: DataFrame, judged: dict[int, bool]) -> list[tuple]:
+    """For each half of the texts (by the lowest bit of their key) the (words, word starts) that the other half's annotated toxic texts have.
+
+    ``judged`` are the annotated texts' keys and whether they are toxic, a bounded sample.
+    """
+
+    def telling(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at, found = batch.column(0).to_pylist(), []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                words = lowered(dict.fromkeys((text or b"").split()))
+                found.append([b"w" + w for w in words] + [b"s" + w for w in starts_of(words)])
+            toxic = batch.column(1)
+            yield pa.RecordBatch.from_arrays([pa.array([a & 1 for a in at], pa.int32()), toxic, pa.array(found, pa.list_(pa.binary()))], ["half", "toxic", "found"])
+
+    if not any(judged.values()):
+        return [(frozenset(), frozenset())] * 2
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(list(judged.items()), "at long, toxic boolean"))
+    each = map_texts(rows.join(wanted, "at").select("at", "toxic", "text").dropDuplicates(["at"]), telling, "half int, toxic boolean, found array<binary>")
+    counts = each.select("half", "toxic", F.explode("found").alias("x")).groupBy("half", "x").agg(F.count(F.when(F.col("toxic"), 1)).alias("bad"), F.count(F.lit(1)).alias("n"))
+    counts = written(counts.where((F.col("bad") >= LEAST_TEXTS) & (F.col("bad") >= TELLING * F.col("n"))), "telling")
+    halves = []
+    for half in (0, 1):
+        best = [bytes(r["x"]) for r in counts.where(F.col("half") == 1 - half).orderBy(F.col("bad").desc(), "x").limit(LEXICON).collect()]
+        halves.append(tuple(frozenset(x[1:] for x in best if x[:1] == kind) for kind in (b"w", b"s")))
+    return halves
+
+
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
     """The scorer for these documents.
 
     ``labels`` (id, quality 0/1, toxic 0/1) is one more labeller, which abstains on
-    documents that it does not cover; conflicting rows for one id count as bad.
-    Every document's votes count for the accuracies; the scorers are trained on
-    at most ``sample`` documents. With no document the scorer says -1 to all.
+    documents that it does not cover and where a value is null; conflicting rows for one id count as bad.
+    Every document's votes count for the accuracies. The scorers are trained, and the lexicons learned, on
+    at most ``sample`` documents, annotated ones first, then by hash, and on ``FEATURE_BYTES`` of features. With no document the scorer says -1 to all.
+
+    Null texts are empty; long ones count whole. Rows that repeat id and text vote each and are trained on once. Other columns are not looked at, whatever their names.
     """
     key = keys(col(id_col), col(text_col))[0]
     rows = docs.select(col(id_col).alias("doc"), key.alias("at"), col(text_col).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
+    judged: dict[int, bool] = {}
+    known = None
+    if labels is not None:
+        known = labels.select(col(id_col).alias("doc"), F.col("quality"), F.col("toxic").alias("is_toxic")).where("doc is not null").groupBy("doc").agg(F.min("quality").alias("quality"), F.max("is_toxic").alias("is_toxic"))
+        known = written(known, "labels")
+        about = rows.select("doc", "at").join(known.where("is_toxic is not null"), "doc").select("at", (F.col("is_toxic") == 1).alias("toxic"))
+        judged = {r["at"]: r["toxic"] for r in by_hash(written(about, "annotated"), "at", sample)}
+    lexicons = _lexicons(rows, judged)
 
     def voting(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [votes(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            found = [votes(t or b"", None, lexicons[at & 1]) for at, t in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([v[i] for v in found], pa.string()) for i in (0, 1)]], ["doc", "at", *AXES])
 
     voted = written(map_texts(rows, voting, f"doc {kind}, at long, junk string, toxic string"), "votes")
     said = {"junk": F.lit("0"), "toxic": F.lit("0")}
-    if labels is not None:
-        known = labels.select(col(id_col).alias("doc"), F.col("quality"), F.col("toxic").alias("is_toxic")).where("doc is not null").groupBy("doc").agg(F.min("quality").alias("quality"), F.max("is_toxic").alias("is_toxic"))
-        voted = voted.join(written(known, "labels"), "doc", "left")
+    if known is not None:
+        voted = voted.join(known, "doc", "left")
         said["junk"] = F.when(F.col("quality") == 0, "-").when(F.col("quality") == 1, "+").otherwise("0")
         said["toxic"] = F.when(F.col("is_toxic") == 1, "-").when(F.col("is_toxic") == 0, "+").otherwise("0")
-    voted = written(voted.select("at", *[F.concat(F.col(a), said[a]).alias(a) for a in AXES], (said["junk"] == "0").alias("alone")), "patterns")
+    voted = written(voted.select("at", *[F.concat(F.col(a), said[a]).alias(a) for a in AXES], ((said["junk"] == "0") & (said["toxic"] == "0")).alias("alone")), "patterns")
     models = {}
     for a in AXES:  # at most 3 ** labellers patterns
-        models[a] = estimate({r[a]: r["count"] for r in voted.groupBy(a).count().collect()}, (len(JUNK if a == "junk" else TOXIC) - 1,))
+        patterns = {r[a]: r["count"] for r in voted.groupBy(a).count().collect()}
+        models[a] = estimate(patterns, anchors(patterns))
 
     chosen = {r["at"]: r for r in by_hash(voted.where("not alone"), "at", sample)}
     chosen |= {r["at"]: r for r in by_hash(voted.where("alone"), "at", sample - len(chosen)) if r["at"] not in chosen}
@@ -237,18 +361,24 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     described = map_texts(rows.join(wanted, "at").select("at", "text").dropDuplicates(["at"]), describing, "at long, features binary")
     import numpy as np
 
-    features = {r["at"]: np.frombuffer(r["features"], np.int32) for r in described.toLocalIterator()}
-    order = sorted(at for at in chosen if at in features)
+    features, held = {}, 0
+    for r in written(described, "described").orderBy("at").toLocalIterator():
+        held += len(r["features"])
+        if held > FEATURE_BYTES and features:
+            break
+        features[r["at"]] = np.frombuffer(r["features"], np.int32)
+    order = sorted(features)
     weights = {}
     for a in AXES:
-        weights[a] = train([features[at] for at in order], [posterior(chosen[at][a], *models[a]) for at in order])
+        weights[a] = train([features[at] for at in order], [models[a].bad(chosen[at][a]) for at in order])
     return Scorer(weights, models)
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, junk, toxic, keep) for each row: log-odds, and whether neither is above 0.
 
-    Texts without words score -1 and are kept: nothing speaks against them.
+    Texts without words score -1 and are kept: nothing speaks against them; so are null ones. Repeated rows and null ids each get
+    their row. Texts are judged whole. Other columns are not looked at. No rows, no result.
     """
     rows = docs.select(col(id_col).alias("doc"), col(text_col).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()

@@ -2,8 +2,8 @@
 
 Patterns yield candidates with their places. Each candidate's value is hashed,
 and the hashes are counted over the corpus by distinct owners and repositories.
-What many owners have is a copied example; what one owner has, and what looks
-like a credential rather than a placeholder, is reported as ``live`` besides.
+What many owners have, or one owner in many repositories, is a copied example; what one owner has in few of them,
+and what looks like a credential rather than a placeholder, is reported as ``live`` besides.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ KINDS = {
 PLACEHOLDER = r"(?i:example|changeme|placeholder|dummy|sample|your|xxxx|0123456|123456|abcdef)"
 #: A value of fewer different characters is taken for a placeholder.
 DIFFERENT = 6
+#: Owners, and repositories of all owners, that a live value has at most.
+OWNERS, REPOSITORIES = 1, 2
 
 
 def _matches(text: Column, pattern: str, group: int) -> Column:
@@ -40,7 +42,7 @@ def _live(value: Column) -> Column:
     return (F.size(F.array_distinct(F.split(value, ""))) >= DIFFERENT) & ~value.rlike(PLACEHOLDER)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: Column | None = None, owner_col: Column | None = None, most_owners: int = 1) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: Column | None = None, owner_col: Column | None = None, most_owners: int = OWNERS, most_repos: int = REPOSITORIES) -> DataFrame:
     """For each row of ``docs``: its id, n_assign, n_access, n_hex, n_live,
     n_example (long), base (string of kind:start:end, comma-joined, by start and
     then kind), spans (the same with ``live`` spans after equal starts).
@@ -48,16 +50,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     Starts and ends are code points, the end exclusive. ``owner_col`` says who has
     a row (default: column source) and ``repo_col`` which of the owner's
     repositories it is in (default: column lang); null is an owner and a repository
-    of its own. A candidate is live if at most ``most_owners`` owners have its value
-    and it does not look like a placeholder; n_example counts the others.
+    of its own, other than an empty one. A candidate is live if at most ``most_owners`` owners have its value in at most
+    ``most_repos`` repositories, and it does not look like a placeholder; n_example counts the others.
 
     Null texts are empty; texts without candidates have zeros and empty strings.
     Repeated rows each get a row. Very long texts are matched whole; a
     document's matches are laid out as rows, so many of them cost no more than
     their number. Other columns are not looked at.
     """
-    owner = F.coalesce(owner_col if owner_col is not None else col("source"), F.lit(""))
-    repo = F.coalesce(repo_col if repo_col is not None else col("lang"), F.lit(""))
+    told_of = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    owner = told_of(owner_col if owner_col is not None else col("source"))
+    repo = told_of(repo_col if repo_col is not None else col("lang"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).alias("doc"), owner.alias("owner"), repo.alias("repo"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     rows = written(rows.select("row", "doc", "owner", "repo", *[_matches(F.col("text"), pattern, group).alias(kind) for kind, (pattern, group, _) in KINDS.items()]), "matches")
 
@@ -68,9 +71,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     spans = spans.withColumn("end", F.sum(F.col("m.gap") + F.col("m.len")).over(upto)).where(F.col("m.vlen") >= F.col("least"))
     spans = written(spans.select("row", "owner", "repo", "k", "kind", (F.col("end") - F.col("m.len")).alias("start"), "end", "m.hash", "m.live"), "spans")
 
-    owners = spans.groupBy("hash", "owner").agg(F.countDistinct("repo").alias("repos")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+    # pairs first, so that a value that very many rows have is counted in parts
+    owners = spans.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
     owners = written(owners, "owners")
-    judged = spans.join(owners, "hash").withColumn("live", F.col("live") & (F.col("owners") <= most_owners))
+    judged = spans.join(owners, "hash").withColumn("live", F.col("live") & (F.col("owners") <= most_owners) & (F.col("repos") <= most_repos))
     base = F.struct("start", "k", "end", "kind")
     per_row = judged.groupBy("row").agg(
         *[F.count(F.when(F.col("kind") == kind, 1)).alias(f"n_{kind}") for kind in KINDS],
@@ -97,7 +101,7 @@ def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
 
 _ASSIGN_SQL = r"""(([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))"""
 OP3_SQL = rf"""
-with d as (select doc_id, coalesce(text, '') t, coalesce(source, '') owner, coalesce(lang, '') repo from documents),
+with d as (select doc_id, coalesce(text, '') t, coalesce('=' || source, '') owner, coalesce('=' || lang, '') repo from documents),
 m as (
   select doc_id, owner, repo, 0 k, 'assign' kind, 6 least, regexp_extract_all(t, '{_ASSIGN_SQL}', 1) w, regexp_extract_all(t, '{_ASSIGN_SQL}', 3) v, regexp_split_to_array(t, '{_ASSIGN_SQL}') g from d
   union all select doc_id, owner, repo, 1, 'access', 20, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_split_to_array(t, 'AKIA[A-Z0-9]+') from d
@@ -106,8 +110,8 @@ u as (select doc_id, owner, repo, k, kind, least, unnest(range(1, len(w) + 1)) i
 x as (select doc_id, owner, repo, k, kind, least, i, length(w[i]) n, v[i] v, length(g[i]) gap from u),
 s as (select *, cast(sum(gap + n) over (partition by doc_id, k order by i) as bigint) e from x),
 b as (select doc_id, owner, repo, k, kind, e - n st, e, v from s where length(v) >= least),
-o as (select v, count(distinct owner) owners from b group by v),
-j as (select b.*, owners <= 1 and len(list_distinct(string_split(b.v, ''))) >= {DIFFERENT}
+o as (select v, count(distinct owner) owners, count(distinct owner || ' ' || repo) repos from b group by v),
+j as (select b.*, owners <= {OWNERS} and repos <= {REPOSITORIES} and len(list_distinct(string_split(b.v, ''))) >= {DIFFERENT}
         and not regexp_matches(lower(b.v), 'example|changeme|placeholder|dummy|sample|your|xxxx|0123456|123456|abcdef') live from b join o using (v)),
 a as (select doc_id, count(*) filter (kind = 'assign') n_assign, count(*) filter (kind = 'access') n_access, count(*) filter (kind = 'hex') n_hex,
         count(*) filter (live) n_live, count(*) filter (not live) n_example, string_agg(kind || ':' || st || ':' || e, ',' order by st, k) base from j group by doc_id),

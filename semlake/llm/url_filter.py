@@ -2,7 +2,7 @@
 
 The rules label the urls they fit. Trees on lexical features (lengths, depth,
 digit ratio, entropy, parameter counts, and the block rate of the host's
-suffix among all labelled urls) are trained from these and judge the urls that
+suffix among all other labelled urls) are trained from these and judge the urls that
 no rule fits. The fitted trees become one Column expression, so that judging
 stays a projection.
 """
@@ -146,8 +146,12 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     block = F.when(F.col("said") == "block", 1.0).otherwise(0.0)
     suffixes = rows.where(F.col("said").isNotNull()).groupBy("suffix").agg(F.count(F.lit(1)).cast("double").alias("suffix_n"), F.sum(block).alias("blocked"))
-    suffixes = written(suffixes.select("suffix", "suffix_n", ((F.col("blocked") + 1) / (F.col("suffix_n") + 2)).alias("suffix_rate")), "suffixes")
-    rows = rows.join(suffixes, "suffix", "left").na.fill({"suffix_n": 0.0, "suffix_rate": 0.5})
+    suffixes = written(suffixes, "suffixes")
+    # a url's own label is not among the labels it is judged by
+    own = F.when(F.col("said").isNull(), 0.0).otherwise(1.0)
+    others = F.coalesce(F.col("suffix_n") - own, F.lit(0.0))
+    rate = (F.coalesce(F.col("blocked") - F.when(F.col("said") == "block", 1.0).otherwise(0.0), F.lit(0.0)) + 1) / (others + 2)
+    rows = rows.join(suffixes, "suffix", "left").withColumn("suffix_rate", rate).withColumn("suffix_n", others)
 
     labelled = by_hash(rows.where(F.col("said").isNotNull()).select("at", *FEATURES, block.alias("block")), "at", sample)
     if labelled:

@@ -22,8 +22,8 @@ from ._common import ascii_lower, col, fresh, keys, table, written
 
 #: Runs of what is no word; A-Z are letters here, as they are lower-cased later, word by word.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows of the benchmark's tables that are sent to every task at once; more go in blocks, each against all documents.
-BROADCAST_ROWS = 100_000
+#: Rows, and bytes of text, of the benchmark's tables that are sent to every task at once; more go in blocks, each against all documents.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def _words(text: Column) -> Column:
@@ -31,8 +31,10 @@ def _words(text: Column) -> Column:
 
 
 def _blocks(df: DataFrame, by: str) -> list[DataFrame]:
-    """The rows in broadcast blocks of about ``BROADCAST_ROWS``, one at least."""
-    n = -(-df.count() // BROADCAST_ROWS)
+    """The rows in broadcast blocks of about ``BROADCAST_ROWS`` and ``BROADCAST_BYTES``, one at least."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() == "string"]
+    said = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(sum(texts, F.lit(0)).cast("long")).alias("bytes")).first()
+    n = max(-(-said["rows"] // BROADCAST_ROWS), -(-(said["bytes"] or 0) // BROADCAST_BYTES))
     return [F.broadcast(df.where(F.pmod(F.xxhash64(by), F.lit(n)) == i) if n > 1 else df) for i in range(max(n, 1))]
 
 

@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, fresh, map_texts, table, written
+from ._common import col, fresh, keys, map_texts, table, written
 from ._graph import components
 
 #: Fingerprints of a bucket up to which its pairs are compared.
@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     can be reached through links, the row's own included. Null ids take part but
     are no component's smallest; a component of null ids only has none. Repeated
     rows each get their row. Texts without words have fingerprint zero and are
-    linked like any other. Columns besides id and text are not looked at.
+    linked like any other. Texts are taken whole, very long ones in stretches of shingles. No rows, no result. Columns besides id and text are not looked at.
     """
     each = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     found = written(each.groupBy("fp").agg(F.min("doc").alias("least")), "distinct")
@@ -126,17 +126,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return each.join(placed, "fp").select(F.col("doc").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _placed(docs: DataFrame, text_col: str, of: list[str], shingle: int, radius: int) -> DataFrame:
+    """The columns ``of`` of each row, with its fingerprint's component ``root``."""
+    row = F.struct(*of)
+    each = written(fingerprints(docs.select(row.alias("row"), col(text_col).alias("text")), "row", "text", shingle), "fingerprints")
+    roots = components(links(written(each.select("fp").distinct(), "distinct"), radius))
+    return each.join(roots, each["fp"] == roots["v"], "left").select("doc.*", F.coalesce("root", "fp").alias("root"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one row of each component: the one of the smallest id.
+    """``docs`` with the document of the smallest id of each component.
 
-    Rows that repeat that id with a text of the same component all stay; of
-    null ids only, so do all. Other columns pass through under their names.
+    A row is known by its id and text: one id on texts of different components stays
+    in each, unless a smaller id is there. Rows that repeat id and text are one document and stay or go together. Null ids
+    come after all others; of a component of null ids only, the text of the smallest hash stays. Other columns pass through under their names.
     """
-    one = near_duplicates(docs, id_col, text_col, shingle, radius)
-    gone, key = fresh(docs, "gone", "key")
-    dropped = written(one.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(key)).distinct(), "dropped")
-    dropped = dropped.withColumn(gone, F.lit(True))
-    return docs.join(dropped, col(id_col) == dropped[key], "left").where(dropped[gone].isNull()).select(*[docs[f"`{c}`"] for c in docs.columns])
+    a, b = keys(col(id_col).isNull(), col(id_col), col(text_col).isNull(), col(text_col))
+    k1, k2 = fresh(docs, "k1", "k2")
+    distinct = docs.select(a.alias("a"), b.alias("b"), col(id_col).alias("doc"), col(text_col).alias("text")).dropDuplicates(["a", "b"])
+    each = written(_placed(distinct, "text", ["a", "b", "doc"], shingle, radius), "each")
+    least = each.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "a", "b")).alias("f"))
+    kept = written(least.select(F.col("f.a").alias(k1), F.col("f.b").alias(k2)), "kept")
+    return docs.withColumn(k1, a).withColumn(k2, b).join(kept, [k1, k2], "left_semi").select(*[col(c) for c in docs.columns])
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

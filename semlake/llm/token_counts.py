@@ -40,7 +40,11 @@ def encoder(path: str = VOCABULARY):
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc, n_tokens): the exact number of tokens of each row's whole text; 0 for null and empty texts."""
+    """(doc, n_tokens): the exact number of tokens of each row's whole text; 0 for null and empty texts.
+
+    Repeated rows each get their row, null ids too; texts of any length are encoded whole. Columns besides id and text are
+    not looked at, whatever their names. No rows, no result.
+    """
     rows = docs.select(col(id_col).alias("doc"), col(text_col).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
 

@@ -3,7 +3,8 @@
 import pytest
 
 import corpus_pipeline
-from semlake.llm import decontaminate, line_dedup, pieces
+from semlake.llm import decontaminate, line_dedup, pieces, simhash
+from tests.llm.test_near_copies import plain_kept
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.01"
@@ -45,10 +46,14 @@ def test_lines(stages, duck, spark, tmp_path):
     assert stages[2].where("n_chars <> length(text)").count() == 0
 
 
-def test_near_copies(stages):
+def test_near_copies(stages, spark):
+    """The stage's rule is a five-word Jaccard similarity of 0.8. The rule of fingerprints within radius two is ``simhash.keep_one``'s."""
     texts = {r.doc_id: r.text for r in stages[2].collect()}
+    ids = sorted(texts)
+    kept = plain_kept([texts[i] for i in ids])
+    assert {r.doc_id for r in stages[3].collect()} == {ids[i] for i in kept}
     components = plain_components({i: plain_fingerprint(t) for i, t in texts.items()})
-    assert {r.doc_id for r in stages[3].collect()} == set(components.values())
+    assert {r.doc_id for r in simhash.keep_one(stages[2]).collect()} == set(components.values())
 
 
 def test_leaks(stages, duck, spark):

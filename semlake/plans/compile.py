@@ -81,6 +81,11 @@ class PatternCompiler:
             return S.nothing(self.spark, names)
         out = None
         for star in stars:
+            remote = star.alternatives[0].remote if len(star.alternatives) == 1 else None
+            bound = self.planner.bind(remote, out.terms, out.df) if remote is not None and out is not None else None
+            if bound is not None:
+                self.trace.append(f"{remote.source.name} is asked for the keys that the other stars bring")
+                star.alternatives = [bound]
             one = S.union([S.Solutions(a.frame(), a.terms) for a in star.alternatives])
             out = one if out is None else S.join(out, one)
         self.planner.filters = ()

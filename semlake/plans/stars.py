@@ -658,16 +658,19 @@ class Planner:
 
         return read_endpoint(self.spark, source.url, **{**source.params, "pattern": Remote(source, (t,), self.filters).pattern_of_one()})
 
-    def of_endpoint(self, remote: Remote) -> Alternative:
-        """Triples that one endpoint answers together, as one query of its own."""
-        from ..sources.endpoint import read_select
+    def of_endpoint(self, remote: Remote, bound: str | None = None, keys: DataFrame | None = None) -> Alternative:
+        """Triples that one endpoint answers together, as one query of its own; or for the IRIs ``keys`` of the variable ``bound`` only."""
+        from ..sources.endpoint import PAGE, read_bound, read_select
 
         cols = {v: fresh() for v in remote.vars()}
 
         def make() -> DataFrame:
             asked = replace(remote, filters=self.filters, wanted=self.wanted, distinct=self.distinct)
             sent = asked.sent()
-            df = read_select(self.spark, remote.source.url, asked.text(), list(sent.values()), remote.source.params)
+            if bound is not None:
+                df = read_bound(keys, remote.source.url, asked.text(bound), list(sent.values()), int(remote.source.params.get("page", PAGE)))
+            else:
+                df = read_select(self.spark, remote.source.url, asked.text(), list(sent.values()), remote.source.params)
             back = {v: F.col(x) for v, x in sent.items()}
             label = F.lit(f"{remote.source.name}/")
             scoped = len(self.catalog.rdf_sources()) > 1
@@ -686,6 +689,28 @@ class Planner:
         constants = sum(not isinstance(x, Var) for t in remote.triples for x in (t.s, t.o))
         return Alternative({v: T.Term("mixed", (c,), (T.MIXED,)) for v, c in cols.items()}, make, (remote.source.name,), constants, remote=remote)
 
+    def bind(self, remote: Remote, known: dict[str, T.Term], df: DataFrame) -> Alternative | None:
+        """The endpoint's part of a join, asked for the keys only that the solutions ``df`` bring; None where asking for all is better.
+
+        It is where the solutions bind one of its variables to IRIs, are small by Spark's statistics (a checked size, as for a
+        broadcast), and the endpoint counts more solutions than one page. A source's parameter ``bind`` ("always", "never") decides otherwise.
+        """
+        from ..sources.endpoint import PAGE, count
+
+        how = remote.source.params.get("bind", "auto")
+        shared = [v for v in remote.vars() if v in known and known[v].certain and known[v].kind == "iri"]
+        if how == "never" or not shared:
+            return None
+        if how != "always":
+            most = int(self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+            if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most:
+                return None
+            asked = replace(remote, filters=self.filters, wanted=self.wanted, distinct=self.distinct)
+            if count(remote.source.url, asked.text()) <= int(remote.source.params.get("page", PAGE)):
+                return None
+        v = shared[0]
+        return self.of_endpoint(remote, v, df.select(T.value(known[v]).alias("key")).distinct())
+
     # stars that no subject template and no RDF source answers alone
 
     def across(self, triples: list[Triple]) -> list[Alternative]:

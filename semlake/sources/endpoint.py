@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import urllib.parse
 import urllib.request
 
@@ -51,7 +52,7 @@ class _SelectReader(DataSourceReader):
         self.names = options["vars"].split()
 
     def partitions(self):
-        total = int(ask(self.url, f"SELECT (COUNT(*) AS ?n) WHERE {{ {{ {self.query} }} }}")[0]["n"]["value"])
+        total = count(self.url, self.query)
         return [_Page(at, self.page) for at in range(0, max(total, 1), self.page)]
 
     def read(self, part):
@@ -87,6 +88,46 @@ def read_select(spark: SparkSession, url: str, query: str, names: list[str], par
     return spark.read.format("sparql_select").options(url=url, query=query, vars=" ".join(names), **more).load()
 
 
+#: Keys that are sent along with one query.
+BOUND = 200
+_BAD = re.compile(r'[\x00-\x20<>"{}|^`\\]')
+
+
+def read_bound(keys: DataFrame, url: str, query: str, names: list[str], page: int = PAGE) -> DataFrame:
+    """A column for each variable of a query that the endpoint answers for the IRIs in ``keys``' one column.
+
+    ``query`` is a SELECT with ``%VALUES%`` where they belong. Each task sends its keys in groups of ``BOUND`` and pages
+    through the answers. What is no IRI is asked for nothing.
+    """
+    schema = ", ".join(f"`{n}` struct<kind:string,value:string,datatype:string,lang:string>" for n in names)
+
+    def run(batches):
+        import pyarrow as pa
+
+        term = pa.struct([(f, pa.string()) for f in ("kind", "value", "datatype", "lang")])
+        by = " ".join("?" + n for n in names)
+        for batch in batches:
+            iris = [k for k in batch.column(0).to_pylist() if k and not _BAD.search(k)]
+            for at in range(0, len(iris), BOUND):
+                said = query.replace("%VALUES%", " ".join(f"<{k}>" for k in iris[at : at + BOUND]))
+                offset = 0
+                while True:
+                    found = ask(url, f"{said} ORDER BY {by} LIMIT {page} OFFSET {offset}")
+                    rows = [[_term(b.get(n)) for n in names] for b in found]
+                    columns = [pa.array([None if r[i] is None else dict(zip(("kind", "value", "datatype", "lang"), r[i])) for r in rows], term) for i in range(len(names))]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                    if len(found) < page:
+                        break
+                    offset += page
+
+    return keys.mapInArrow(run, schema)
+
+
+def count(url: str, query: str) -> int:
+    """How many solutions a SELECT has, as the endpoint counts them."""
+    return int(ask(url, f"SELECT (COUNT(*) AS ?n) WHERE {{ {{ {query} }} }}")[0]["n"]["value"])
+
+
 class EndpointSource(DataSource):
     """Options: url, pattern (a triple pattern over ?s ?p ?o), page."""
 

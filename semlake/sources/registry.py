@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -118,14 +119,33 @@ def _xml(spark, source, logical):
 
 @register_format(*DATABASES)
 def _jdbc(spark, source, logical):
-    """A table or query; ``partitionColumn`` with its bounds and ``numPartitions`` splits the read. The driver's jar must be there."""
+    """A table or query; ``partitionColumn`` with its bounds and ``numPartitions`` splits the read. The driver's jar must be there.
+
+    With the parameter ``catalog=true`` tables are read through a catalog of the database: filters, joins of its tables, aggregates, sorts
+    and limits then become part of the SQL that it is sent, as far as its dialect can say them.
+    """
     params = dict(source.params)
+    if params.pop("catalog", "false") == "true" and not logical.query:
+        return _of_catalog(spark, source, logical, params)
     params["user"] = params.pop("username", params.get("user", ""))
     url = source.url if source.url.startswith("jdbc:") else f"jdbc:{source.format.lower()}://{source.url}"
     reader = spark.read.format("jdbc").option("url", url).options(**params)
     return reader.option("dbtable", f"({logical.query}) of_map" if logical.query else logical.table or logical.source).load()
 
 
+def _of_catalog(spark: SparkSession, source: SourceSpec, logical: LogicalSource, params: dict) -> DataFrame:
+    name = "semlake_" + re.sub(r"\W", "_", source.name)
+    prefix = f"spark.sql.catalog.{name}"
+    params["user"] = params.pop("username", params.get("user", ""))
+    url = source.url if source.url.startswith("jdbc:") else f"jdbc:{source.format.lower()}://{source.url}"
+    spark.conf.set(prefix, "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
+    for k, v in {"url": url, **params}.items():
+        spark.conf.set(f"{prefix}.{k}", v)
+    spark.conf.set("spark.sql.optimizer.datasourceV2JoinPushdown", "true")
+    table = logical.table or logical.source
+    return spark.table(f"{name}." + ".".join(f"`{x}`" for x in table.split(".")))
+
+
 @register_format("ntriples", "nt", "sparql_endpoint", "triples")
 def _triples(spark, source, logical):
     """A triple table (s, s_kind, p, o, o_kind, o_datatype, o_lang): from N-Triples text, or Parquet of these columns."""

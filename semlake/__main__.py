@@ -33,7 +33,7 @@ def main(args: list[str] | None = None) -> int:
 
     from pyspark.sql import SparkSession
 
-    builder = SparkSession.builder.appName("semlake")
+    builder = SparkSession.builder.appName("semlake").config("spark.python.sql.dataFrameDebugging.enabled", "false")  # plans are built faster without stack traces
     spark = (builder.master(given.master) if given.master else builder).getOrCreate()
     if given.command == "catalog":
         from .plans.discovery import discover

@@ -72,7 +72,7 @@ class PatternCompiler:
         before = [len(s.alternatives) for s in stars]
         stars_.prune(stars)
         stars = stars_.merge_remote(stars, self.planner)
-        stars = stars_.ordered(stars, stars_.estimated_bytes)
+        stars = stars_.ordered(stars, lambda star: stars_.estimated_bytes(star, self.planner))
         for s in stars:
             self.trace.append(f"star of {s.triples[0].s}: {len(s.triples)} triples over {' | '.join('+'.join(a.names) for a in s.alternatives) or 'nothing'}")
         self.trace.append(f"{sum(before)} alternatives, {sum(len(s.alternatives) for s in stars)} after pruning")
@@ -92,11 +92,12 @@ class PatternCompiler:
         return out
 
 
-def _wanted(q: QuerySpec, names: list[str]) -> frozenset[str] | None:
-    """The variables that a query shows or uses more than once; None where all count."""
+def _uses(q: QuerySpec, names: list[str]) -> tuple[frozenset[str], dict[str, int]] | None:
+    """The variables that a query shows, filters or sorts by, and in how many places of triples each variable stands; None where all count."""
     if q.form != "SELECT":
         return None
     counts: dict[str, int] = {}
+    kept = set(names).union(*(expr_vars(k.expr) for k in q.order))
 
     def walk(part) -> None:
         if isinstance(part, Triple):
@@ -111,12 +112,10 @@ def _wanted(q: QuerySpec, names: list[str]) -> frozenset[str] | None:
             for b in part.branches:
                 walk(b)
         elif isinstance(part, Filter_):
-            for v in expr_vars(part.expr):
-                counts[v] = 2
+            kept.update(expr_vars(part.expr))
 
     walk(q.where)
-    ordering = set().union(*(expr_vars(k.expr) for k in q.order)) if q.order else set()
-    return frozenset({v for v, n in counts.items() if n > 1} | set(names) | ordering)
+    return frozenset(kept), counts
 
 
 def order_columns(keys: list[OrderKey], terms: dict[str, T.Term], functions: FunctionRegistry) -> list[Column]:
@@ -157,7 +156,7 @@ class Compiled:
 def compile_query(spark: SparkSession, catalog: Catalog, q: QuerySpec, functions: FunctionRegistry = registry, loaded: dict | None = None) -> Compiled:
     compiler = PatternCompiler(spark, catalog, functions, loaded)
     names = q.variables if q.variables is not None else pattern_vars(q.where)
-    compiler.planner.wanted, compiler.planner.distinct = _wanted(q, names), q.form == "SELECT" and q.distinct
+    compiler.planner.uses, compiler.planner.distinct = _uses(q, names), q.form == "SELECT" and q.distinct
     s = compiler.classes(q) or compiler.pattern(A.translate(q.where))
     if q.form == "ASK":
         df = s.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("result"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -242,9 +243,9 @@ class Planner:
         """``loaded`` keeps sources' frames, and which maps have rows, from one query to the next."""
         self.spark, self.catalog = spark, catalog
         self.loaded = {} if loaded is None else loaded
-        #: What endpoints are told besides triples: conditions, the variables of use elsewhere (None: all), whether repeated rows matter.
+        #: What endpoints are told besides triples: conditions, the variables of use elsewhere (see ``compile``; None: all), whether repeated rows matter.
         self.filters: tuple = ()
-        self.wanted: frozenset[str] | None = None
+        self.uses: tuple[frozenset[str], dict[str, int]] | None = None
         self.distinct = False
 
     def rows(self, source: SourceSpec, logical) -> DataFrame:
@@ -253,6 +254,17 @@ class Planner:
             self.loaded[key] = load(self.spark, source, logical)
         return self.loaded[key]
 
+    def bytes_of(self, name: str) -> int:
+        """The size of a map's table, or of a source of triples."""
+        if ("bytes", name) not in self.loaded:
+            tm = self.catalog.maps.get(name)
+            source = self.catalog.source_of(tm) if tm else self.catalog.sources[name]
+            if is_endpoint(source):
+                return 1 << 40
+            df = self.rows(source, tm.source if tm else LogicalSource(name))
+            self.loaded["bytes", name] = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return self.loaded["bytes", name]
+
     def scan(self, name: str) -> Scan:
         tm = self.catalog.maps[name]
         return Scan(self.spark, self.catalog, tm, self.rows(self.catalog.source_of(tm), tm.source))
@@ -371,6 +383,8 @@ class Planner:
                 scan.key, scan.classes = (rows, at), set()
                 terms: dict[str, T.Term] = {}
                 _match(scan, scan.subject, s, terms)
+                if scan.empty:
+                    return None
                 parts.append((scan, terms, scan.subject))
                 place = len(parts) - 1
             scan, terms, _ = parts[place]
@@ -554,12 +568,12 @@ class Planner:
         Answers ``SELECT DISTINCT ?c { ?s a ?c }`` without reading more.
         """
         out = fresh()
-        frames, seen = [], set()
-        for map_name, tm in self.catalog.maps.items():
-            if any(po.predicate == RDF_TYPE for po in tm.objects):
-                return None
-            if set(tm.classes) - seen and self.has_rows(map_name):
-                seen.update(tm.classes)
+        if any(po.predicate == RDF_TYPE for tm in self.catalog.maps.values() for po in tm.objects):
+            return None
+        maps = [n for n, tm in self.catalog.maps.items() if tm.classes]
+        with ThreadPoolExecutor(8) as pool:  # each looks for one row
+            seen = {c for n, found in zip(maps, pool.map(self.has_rows, maps)) if found for c in self.catalog.maps[n].classes}
+        frames = []
         if seen:
             frames.append(self.spark.createDataFrame([(c,) for c in sorted(seen)], f"`{out}` string"))
         for source in self.catalog.rdf_sources():
@@ -658,6 +672,18 @@ class Planner:
 
         return read_endpoint(self.spark, source.url, **{**source.params, "pattern": Remote(source, (t,), self.filters).pattern_of_one()})
 
+    def told(self, remote: Remote) -> Remote:
+        """With what is known of the query besides the triples."""
+        wanted = None
+        if self.uses is not None:
+            kept, total = self.uses
+            here: dict[str, int] = {}
+            for t in remote.triples:
+                for v in t.vars():
+                    here[v] = here.get(v, 0) + 1
+            wanted = frozenset(v for v, n in here.items() if v in kept or total.get(v, 0) > n)
+        return replace(remote, filters=self.filters, wanted=wanted, distinct=self.distinct)
+
     def of_endpoint(self, remote: Remote, bound: str | None = None, keys: DataFrame | None = None) -> Alternative:
         """Triples that one endpoint answers together, as one query of its own; or for the IRIs ``keys`` of the variable ``bound`` only."""
         from ..sources.endpoint import PAGE, read_bound, read_select
@@ -665,7 +691,7 @@ class Planner:
         cols = {v: fresh() for v in remote.vars()}
 
         def make() -> DataFrame:
-            asked = replace(remote, filters=self.filters, wanted=self.wanted, distinct=self.distinct)
+            asked = self.told(remote)
             sent = asked.sent()
             if bound is not None:
                 df = read_bound(keys, remote.source.url, asked.text(bound), list(sent.values()), int(remote.source.params.get("page", PAGE)))
@@ -705,7 +731,7 @@ class Planner:
             most = int(self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
             if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most:
                 return None
-            asked = replace(remote, filters=self.filters, wanted=self.wanted, distinct=self.distinct)
+            asked = self.told(remote)
             if count(remote.source.url, asked.text()) <= int(remote.source.params.get("page", PAGE)):
                 return None
         v = shared[0]
@@ -851,6 +877,6 @@ def ordered(stars: list[Star], size_of=None) -> list[Star]:
     return out
 
 
-def estimated_bytes(star: Star) -> int:
-    """What Spark's statistics say of the star's sources, columns pruned; no data is read."""
-    return sum(int(str(a.frame()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for a in star.alternatives)
+def estimated_bytes(star: Star, planner: Planner) -> int:
+    """What Spark's statistics say of the star's tables, looked up once for each; no data is read. What has no statistics counts as large."""
+    return sum(planner.bytes_of(n) for a in star.alternatives for n in a.names)

@@ -130,13 +130,13 @@ def test_an_endpoint_is_sent_stars_filters_and_projection(spark, web):
     assert 'isLiteral(?o1_) && str(?o1_) = "a b"' in asked[-1] and "<http://www.w3.org/2001/XMLSchema#double>(str(?o2_)) = 7" in asked[-1]
 
 
-def test_an_endpoint_is_asked_for_the_keys_of_a_small_side(spark, web):
+def test_an_endpoint_is_asked_for_the_keys_of_a_small_side(spark, web, tmp_path):
     url, asked = web
-    mine = spark.createDataFrame([(3, "c"), (17, "q"), (99, "z")], "id int, name string")
+    spark.createDataFrame([(3, "c"), (17, "q"), (99, "z")], "id int, name string").coalesce(1).write.parquet(str(tmp_path / "m.parquet"))
     tm = TriplesMap("m", LogicalSource("mem", table="m"), TermMap("template", "http://m/{id}", "iri"), ("http://m/M",), [PredicateObject("http://m/name", ref("name")), PredicateObject("http://m/is", iri_map("http://s/{id}"))])
     q = V + "SELECT ?name ?x { ?m <http://m/name> ?name ; <http://m/is> ?s . ?s v:n ?x ; v:to ?t }"
     for bind, bound in (("auto", True), ("never", False), ("always", True)):
-        e = Engine(spark, Catalog([SourceSpec("mem", "memory", frames={"m": mine.coalesce(1)}), SourceSpec("web", "sparql_endpoint", url, {"page": "10", "bind": bind}, predicates=("http://v/n", "http://v/to"))], [tm]))
+        e = Engine(spark, Catalog([SourceSpec("mem", "parquet", str(tmp_path)), SourceSpec("web", "sparql_endpoint", url, {"page": "10", "bind": bind}, predicates=("http://v/n", "http://v/to"))], [tm]))
         df = e.query(q).df
         asked.clear()
         assert sorted(map(tuple, df.collect())) == [("c", "3"), ("q", "17")]
@@ -150,7 +150,7 @@ def test_databases(spark):
     """Derby, which Spark brings along, as a database: columns, filters, queries, partitions; and a catalog of it."""
     url = "jdbc:derby:memory:lake;create=true"
     people = spark.createDataFrame([(1, "ann", 2), (2, "bob", 1), (3, "cat", None)], "ID int, NAME string, BOSS int")
-    people.write.jdbc(url, "PEOPLE", "overwrite", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    people.write.option("createTableColumnTypes", "NAME VARCHAR(64)").jdbc(url, "PEOPLE", "overwrite", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
 
     def ask(logical, **params):
         tm = TriplesMap("p", logical, TermMap("template", "http://b/p/{ID}", "iri"), ("http://b/P",), [PredicateObject("http://b/name", ref("NAME")), PredicateObject("http://b/boss", iri_map("http://b/p/{BOSS}"))], owner="db")
@@ -164,5 +164,5 @@ def test_databases(spark):
     assert sorted(map(tuple, ask(query, **split).collect())) == want
     text = ask(table)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [*IsNotNull(ID)" in text or "IsNotNull(BOSS)" in text
-    listed = ask(LogicalSource("db", table="SA.PEOPLE"), catalog="true", username="SA")
+    listed = ask(LogicalSource("db", table="APP.PEOPLE"), catalog="true", username="APP")
     assert sorted(map(tuple, listed.collect())) == want and "PushedFilters" in listed._jdf.queryExecution().executedPlan().toString()

@@ -61,7 +61,7 @@ def test_http(spark, lake):
             return json.loads(r.read())
 
     whole = get("/sparql", query=Q)
-    assert whole["totalRows"] == 3 and whole["vars"] == ["d", "m"] and whole["result"][0]["m"] == {"type": "literal", "value": "aspirin"} and len(whole["querytriples"]) == 1
+    assert whole["totalRows"] == 3 and whole["vars"] == ["d", "m"] and whole["result"][0]["m"] == {"type": "literal", "value": "aspirin", "xml:lang": "en"} and len(whole["querytriples"]) == 1
     first = get("/sparql", query=Q, blocking=0)
     assert len(first["result"]) == 1
     assert [len(get("/nextresult", query=Q)["result"]) for _ in range(4)] == [1, 1, 0, 0]

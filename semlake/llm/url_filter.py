@@ -127,6 +127,44 @@ def fit(x, y, names=FEATURES, rounds: int = 30, depth: int = 3, rate: float = 0.
     return Trees(tuple(names), start, tuple(trees))
 
 
+def described(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
+    """(page, host, path, rule, said, at, suffix, and ``FEATURES``): each row's parts, the rule that fits it and what that says, and its lexical features.
+
+    The suffix statistics are over the urls of ``labelled`` (default: these rows) that a rule fits, a url's own label left out.
+    """
+
+    def parts(pages: DataFrame) -> DataFrame:
+        rows = pages.select(col(id_col).alias("page"), F.coalesce(col(url_col), F.lit("")).alias("url"))
+        host, path = host_and_path(F.col("url"))
+        rule, said = _fitting(F.col("host"), F.col("path"), rules)
+        rows = rows.select("page", "url", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), said.alias("said"))
+        return rows.select("page", "host", "path", "rule", "said", F.xxhash64("url", "page").alias("at"), F.element_at(F.split("host", r"\."), -1).alias("suffix"), *[c.cast("double").alias(k) for k, c in _features(F.col("url"), F.col("host"), F.col("path")).items()])
+
+    rows = written(parts(pages), "urls")
+    known = rows if labelled is None else parts(labelled)
+    block = F.when(F.col("said") == "block", 1.0).otherwise(0.0)
+    suffixes = known.where(F.col("said").isNotNull()).groupBy("suffix").agg(F.count(F.lit(1)).cast("double").alias("suffix_n"), F.sum(block).alias("blocked"))
+    suffixes = written(suffixes, "suffixes")
+    own = F.when(F.col("said").isNull(), 0.0).otherwise(1.0) if labelled is None else F.lit(0.0)
+    others = F.coalesce(F.col("suffix_n") - own, F.lit(0.0))
+    rate = (F.coalesce(F.col("blocked") - own * block, F.lit(0.0)) + 1) / (others + 2)
+    return rows.join(suffixes, "suffix", "left").withColumn("suffix_rate", rate).withColumn("suffix_n", others).drop("blocked")
+
+
+def learned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, sample: int = SAMPLE, rows: DataFrame | None = None) -> Trees | None:
+    """Trees for the urls that a rule fits: at most ``sample`` of them, by hash. None without any. ``rows`` are these pages, described already."""
+    rows = described(pages, id_col, url_col, rules) if rows is None else rows
+    block = F.when(F.col("said") == "block", 1.0).otherwise(0.0)
+    labelled = by_hash(rows.where(F.col("said").isNotNull()).select("at", *FEATURES, block.alias("block")), "at", sample)
+    return fit([[r[f] for f in FEATURES] for r in labelled], [r["block"] for r in labelled]) if labelled else None
+
+
+def scored(pages: DataFrame, trees: Trees | None, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+    """(``id_col``, score): log-odds of block by the trees alone, for pages other than the ``labelled`` ones that they were learned from."""
+    rows = described(pages, id_col, url_col, rules, labelled)
+    return rows.select(F.col("page").alias(id_col), (trees.score(F.col) if trees else F.lit(0.0)).alias("score"))
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """For each row: its id, host, path, rule (or null), verdict (allow or block), score (log-odds of block).
 
@@ -137,28 +175,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rate (0, which allows, if there is none). Repeated rows each get a row; long
     urls are judged whole; other columns are not looked at.
     """
-    rows = pages.select(col(id_col).alias("page"), F.coalesce(col(url_col), F.lit("")).alias("url"))
-    host, path = host_and_path(F.col("url"))
-    rule, said = _fitting(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page", "url", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), said.alias("said"))
-    rows = rows.select("page", "host", "path", "rule", "said", F.xxhash64("url", "page").alias("at"), F.element_at(F.split("host", r"\."), -1).alias("suffix"), *[c.cast("double").alias(k) for k, c in _features(F.col("url"), F.col("host"), F.col("path")).items()])
-    rows = written(rows, "urls")
-
-    block = F.when(F.col("said") == "block", 1.0).otherwise(0.0)
-    suffixes = rows.where(F.col("said").isNotNull()).groupBy("suffix").agg(F.count(F.lit(1)).cast("double").alias("suffix_n"), F.sum(block).alias("blocked"))
-    suffixes = written(suffixes, "suffixes")
-    # a url's own label is not among the labels it is judged by
-    own = F.when(F.col("said").isNull(), 0.0).otherwise(1.0)
-    others = F.coalesce(F.col("suffix_n") - own, F.lit(0.0))
-    rate = (F.coalesce(F.col("blocked") - F.when(F.col("said") == "block", 1.0).otherwise(0.0), F.lit(0.0)) + 1) / (others + 2)
-    rows = rows.join(suffixes, "suffix", "left").withColumn("suffix_rate", rate).withColumn("suffix_n", others)
-
-    labelled = by_hash(rows.where(F.col("said").isNotNull()).select("at", *FEATURES, block.alias("block")), "at", sample)
-    if labelled:
-        trees = fit([[r[f] for f in FEATURES] for r in labelled], [r["block"] for r in labelled])
-        score = trees.score(F.col)
-    else:
-        score = F.lit(0.0)
+    rows = described(pages, id_col, url_col, rules)
+    trees = learned(pages, id_col, url_col, rules, sample, rows)
+    score = trees.score(F.col) if trees else F.lit(0.0)
     verdict = F.coalesce("said", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return rows.withColumn("score", score).select(F.col("page").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")
 

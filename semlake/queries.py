@@ -312,6 +312,28 @@ def property_graph_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query(PREFIXES + "SELECT ?c ?n WHERE { ?c ex:livesIn ?x ; ex:nation ?n ; ex:name 'Customer#000000011' }").df
 
 
+def document_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection of JSON documents, grouped by what the source says; the mapping reads the array."""
+    path = _copy(spark, "json")
+    spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderpriority").write.json(path)
+    tm = TriplesMap("doc", LogicalSource("mongo", table=path), TermMap("template", BASE + "/customer/{o_custkey}", "iri"), (EX + "Customer",), [PredicateObject(EX + "priority", ref("o_orderpriority[*]"))], owner="mongo")
+    source = SourceSpec("mongo", "mongodb", path, {"schema": "o_custkey long, o_orderpriority string", "groupBy": "o_custkey", "collect": "o_orderpriority"})
+    return Engine(spark, Catalog([source], [tm])).query(PREFIXES + "SELECT ?c ?p WHERE { ?c ex:priority '1-URGENT' ; ex:priority ?p }").df
+
+
+def property_graph_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges as tables of a property graph; the mappings' iterators say which hop and which nodes are rows."""
+    customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    key = lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
+    path = _copy(spark, "graph")
+    customer.select(key("c", "c_custkey").alias("id"), F.lit("Customer").alias("label"), F.col("c_name").alias("name")).unionByName(nation.select(key("n", "n_nationkey").alias("id"), F.lit("Nation").alias("label"), F.col("n_name").alias("name"))).write.parquet(f"{path}/nodes.parquet")
+    customer.select(key("c", "c_custkey").alias("src"), F.lit("LIVES_IN").alias("type"), key("n", "c_nationkey").alias("dst")).write.parquet(f"{path}/edges.parquet")
+    lives = TriplesMap("lives", LogicalSource("neo", iterator="Customer/LIVES_IN/Nation"), TermMap("template", BASE + "/node/{n.id}", "iri"), (EX + "Customer",), [PredicateObject(EX + "livesIn", iri_map(BASE + "/node/{o.id}"))], owner="neo")
+    places = TriplesMap("places", LogicalSource("neo", iterator="Nation"), TermMap("template", BASE + "/node/{id}", "iri"), (EX + "Nation",), [PredicateObject(EX + "name", ref("name"))], owner="neo")
+    e = Engine(spark, Catalog([SourceSpec("neo", "neo4j", path)], [lives, places]))
+    return e.query(PREFIXES + "SELECT ?c ?n WHERE { ?c ex:livesIn ?x . ?x a ex:Nation ; ex:name ?n FILTER(?n < 'NATION_2') }").df
+
+
 def catalog_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).catalog.classes(spark).groupBy("class").agg(F.countDistinct("predicate").alias("predicates"))
 
@@ -422,6 +444,8 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "source_constant_object": (source_constant_object, f"select {REGION} r, 'continent' k, 'http://ex.org/earth' p from region"),
     "group_collect_set": (group_collect_set, f"select {iri('customer', 'o_custkey')} c from orders where o_orderpriority in ('1-URGENT', '5-LOW') group by o_custkey having count(distinct o_orderpriority) = 2"),
     "property_graph_hop": (property_graph_hop, "select 'http://ex.org/node/c' || c_custkey c, n_name n from customer join nation on c_nationkey = n_nationkey where c_name = 'Customer#000000011'"),
+    "document_grouped": (document_grouped, f"select distinct {iri('customer', 'o_custkey')} c, b.o_orderpriority p from orders a join orders b using (o_custkey) where a.o_orderpriority = '1-URGENT'"),
+    "property_graph_source": (property_graph_source, "select 'http://ex.org/node/c' || c_custkey c, n_name n from customer join nation on c_nationkey = n_nationkey where n_name < 'NATION_2'"),
     "catalog_classes": (catalog_classes, _CLASSES_SQL),
     "catalog_links": (catalog_links, _LINKS_SQL),
     "catalog_graph": (catalog_graph, _GRAPH_SQL),

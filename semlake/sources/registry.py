@@ -81,7 +81,7 @@ def _orc(spark, source, logical):
 
 
 def _options(source: SourceSpec, **more) -> dict:
-    return {**more, **{k: v for k, v in source.params.items() if k not in ("schema", "username", "password")}}
+    return {**more, **{k: v for k, v in source.params.items() if k not in ("schema", "username", "password", "groupBy", "collect")}}
 
 
 def _text(sep: str, ending: str) -> Reader:
@@ -100,11 +100,37 @@ for _names, _sep, _ending in ((("csv", "local_csv", "hadoop_csv", "spark_csv"),
 
 @register_format("json", "local_json", "hadoop_json", "spark_json", "mongodb", "document")
 def _json(spark, source, logical):
-    """JSON lines (``multiLine`` for one document a file); also a dump of a document store's collection."""
+    """JSON lines (``multiLine`` for one document a file); also a dump of a document store's collection.
+
+    With the parameters ``groupBy`` and ``collect`` documents of one key become one, with the set of that field's values as an array of its name.
+    """
     reader = spark.read.options(**_options(source))
     if "schema" in source.params:
         reader = reader.schema(source.params["schema"])
-    return reader.json(_path(source, logical, ".json", ".jsonl"))
+    df = reader.json(_path(source, logical, ".json", ".jsonl"))
+    if "groupBy" in source.params:
+        from .graph import grouped
+
+        df = grouped(df, source.params["groupBy"], source.params["collect"], source.params["collect"])
+    return df
+
+
+@register_format("neo4j", "property_graph")
+def _graph(spark, source, logical):
+    """A property graph as two tables, ``nodes`` (id, label, properties) and ``edges`` (src, type, dst).
+
+    The iterator says what a row is: ``Label`` for the nodes of a label, ``Label/TYPE/Label`` for pairs (n, o) of nodes with
+    an edge of that type from one to the other; ``*`` is any label or type.
+    """
+    from .graph import hop
+
+    nodes, edges = (load(spark, SourceSpec(source.name, source.params.get("stored", "parquet"), source.url, {}, source.frames), LogicalSource(source.name, table=t)) for t in ("nodes", "edges"))
+    steps = [None if x == "*" else x for x in (logical.iterator or logical.table or "*").split("/")]
+    if len(steps) == 3:
+        return hop(nodes, edges, *steps)
+    if len(steps) != 1:
+        raise ValueError(f"{source.name}: {logical.iterator!r} is neither a label nor label/type/label")
+    return nodes.where(F.col("label") == steps[0]) if steps[0] else nodes
 
 
 @register_format("xml", "local_xml", "hadoop_xml", "spark_xml")

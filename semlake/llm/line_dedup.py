@@ -47,7 +47,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     covered = written(later.groupBy("a", "b").agg(F.collect_set("pos").alias("starts")), "covered")
     covered = covered.select(F.col("a").alias(k1), F.col("b").alias(k2), F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (window - 1))))).alias(gone))
 
-    out = docs.withColumn(k1, key1).withColumn(k2, key2).join(covered, [k1, k2], "left")
+    # sorted and merged: neither side has a bound, and both can spill
+    out = docs.withColumn(k1, key1).withColumn(k2, key2).join(covered.hint("merge"), [k1, k2], "left")
     out = out.withColumn(lines, F.when(col(gone).isNotNull(), F.split(text, "\n", -1)))
     staying = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), col(gone))
     stay = F.transform(staying, lambda i: F.element_at(col(lines), i + 1))

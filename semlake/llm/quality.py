@@ -143,7 +143,7 @@ def plain_prior(labellers: int) -> Prior:
     import numpy as np
 
     start = np.array([[0.01, 0.5], [0.6, 0.1], [0.39, 0.4]])
-    return Prior(np.tile(start, (labellers, 1, 1)), np.array([1 - BAD, BAD]))
+    return Prior(np.tile(start, (labellers, 1, 1)).reshape(labellers, 3, 2), np.array([1 - BAD, BAD]))
 
 
 def anchors(patterns: dict[str, int]) -> Prior:
@@ -154,7 +154,9 @@ def anchors(patterns: dict[str, int]) -> Prior:
     """
     import numpy as np
 
-    k, total = max(map(len, patterns), default=0), sum(patterns.values())
+    if not patterns:
+        return plain_prior(0)
+    k, total = max(map(len, patterns)), sum(patterns.values())
     good = {p: n for p, n in patterns.items() if p[-1] == "+"}
     n_good, judged = sum(good.values()), sum(n for p, n in patterns.items() if p[-1] != "0")
     kinds = max(k - 1, 1)

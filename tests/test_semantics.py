@@ -105,6 +105,34 @@ def test_random_patterns(engine, seed):
     assert got == sorted((tuple(s.get("?" + n) for n in names) for s in want), key=str), q
 
 
+@pytest.mark.parametrize("seed", range(int(os.environ.get("PATTERN_SEEDS", "24")) // 3))
+def test_random_variable_predicates(engine, seed):
+    rng = random.Random(1000 + seed)
+    full = lambda p: "http://www.w3.org/1999/02/22-rdf-syntax-ns#type" if p == "a" else B + p
+    data = [(s, full(p), o) for s, p, o in triples()]
+
+    def some():
+        out = []
+        for _ in range(rng.choice([1, 2])):
+            p = rng.choice(["?p", "?q", "name", "boss", "a"])
+            o = rng.choice(["?y", "?z", "?x"]) if rng.random() < 0.7 or p not in ("?p", "?q") else rng.choice(["ann", f"{B}p/1", f"{B}Person"])
+            out.append((rng.choice(["?x", "?x", "?y", f"{B}p/1"]), p if p[0] == "?" else full(p), o))
+        return out
+
+    def told(patterns):
+        node = lambda x: x if x[0] == "?" else f"<{x}>" if x.startswith("http") else repr(x)
+        return " . ".join(" ".join(map(node, t)) for t in patterns)
+
+    a, b = some(), some()
+    if rng.random() < 0.5:
+        want, q = match(a + b, data), told(a + b)
+    else:
+        want, q = left_join(match(a, data), match(b, data)), f"{told(a)} OPTIONAL {{ {told(b)} }}"
+    names = ["x", "y", "z", "p", "q"]
+    got = sorted((tuple(None if v is None else str(v) for v in r) for r in engine.query(f"SELECT ?x ?y ?z ?p ?q WHERE {{ {q} }}").df.collect()), key=str)
+    assert got == sorted((tuple(s.get("?" + n) for n in names) for s in want), key=str), q
+
+
 def plan(engine, q):
     return engine.query(q).df._jdf.queryExecution().optimizedPlan().toString()
 

@@ -12,7 +12,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, root) for every end of an edge (long, not null); equal roots mean connected.
 
     Each round points every vertex at its smallest neighbour, follows the
-    pointers to their ends by doubling, and contracts the graph to those ends.
+    pointers to their ends by steps that triple, and contracts the graph to those ends.
     A round at least halves what is still connected in all but contrived
     shapes, so rounds grow with the logarithm of the longest chain. All
     tables of a round are written, and hubs are left to skewed-join splitting:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved = 1
         while moved:
             far = to.select(F.col("v").alias("root"), F.col("root").alias("next"))
-            to, moved = counted(to.join(far, "root").select("v", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "pointers", F.col("moved"))
+            further = to.select(F.col("v").alias("next"), F.col("root").alias("last"))  # two steps in one table
+            to, moved = counted(to.join(far, "root").join(further, "next").select("v", F.col("last").alias("root"), (F.col("last") != F.col("root")).alias("moved")), "pointers", F.col("moved"))
             to = to.drop("moved")
         if roots is None:
             roots = to

@@ -1,24 +1,28 @@
-"""Near copies by the Jaccard similarity of five-word shingles, exactly.
+"""Near copies by SimHash, checked by and completed to the Jaccard similarity of five-word shingles.
 
 Two texts link if their sets of shingles have a similarity of ``NUM / DEN`` at
-least. Fingerprint bits cannot promise that: at 0.8 about 15 % of a SimHash's
-bits differ however wide it is, and blocks or masks that cover such a share are
-either too many tables or keys of a few bits. A prefix filter misses none: in
-any order of the shingles, two such sets share one among the first
-n - ceil(0.8 n) + 1 of each. Shingles that are common in a sample come last in
-the order, which only keeps the candidates few. The places of the first shared
-shingle, the sizes, and counts of the shingles by bins bound the overlap; what passes is compared set by set.
-
-Equal sets are one vertex. All sets of a shingle are first compared with one of them,
+least. Three steps, of which none loses a link:
+
+1. Sets that can link with no other go. In any order of the shingles, two sets that link
+   share ``SEVERAL`` among the first n - ceil(0.8 n) + ``SEVERAL`` of each, so a set with fewer there that
+   another set has is alone. Of the others whole sets are made; those of which less than 0.8 is shared go.
+2. SimHash: fingerprints of what is left meet in the buckets of a covering family for ``RADIUS`` bits (``simhash.candidates``), pairs
+   are compared set by set, and what links is connected.
+3. At 0.8 about 15 % of a SimHash's bits differ however wide it is, and no family of a few tables covers
+   such a share. The links with more differing bits are found by a prefix filter, the rarest shingles first: sets that link share one
+   among the first n - ceil(0.8 n) + 1. Its place and the sizes bound the overlap; what passes, and is not connected yet, is compared set by set.
+
+Equal sets are one vertex. In the last step all sets of a shingle are first compared with one of them,
 which is linear; then, in shingles of many sets that are not connected yet, with another one; what is left, of different
 components and not compared yet, is compared pair by pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from ._common import col, counted, fresh, keys, map_texts, written
 from ._graph import components
 
@@ -30,8 +34,10 @@ PAIRS = 32
 ROUNDS = 2
 #: Keys of texts that are sent to every task at most, 16 bytes each; with more of them both sides are shuffled.
 BROADCAST_KEYS = 1 << 21
-#: Bins of a sketch, a power of two.
-BINS = 512
+#: Differing bits of a fingerprint up to which SimHash finds pairs.
+RADIUS = 6
+#: How many shared shingles the first look at a set asks for.
+SEVERAL = 24
 #: Documents whose shingles are counted for the order, and how many of these must have one that comes late.
 SAMPLE, OFTEN = 8000, 3
 #: Shingles that come late at most. More would only be ordered as the others are.
@@ -55,16 +61,13 @@ def prefix(n: int) -> int:
     return n + NUM * -n // DEN + 1 if n else 0
 
 
-def sketch(found):
-    """How many of a set's hashes fall in each of ``BINS`` bins, for a bound of what two sets share; None where a count is too large."""
-    import numpy as np
-
-    counts = np.bincount(found & (BINS - 1), minlength=BINS)
-    return counts.astype(np.int8) if counts.max(initial=0) < 128 else None
+def several(n: int) -> int:
+    """How many shingles sets that link share among the first ``prefix(n) - 1`` and as many more."""
+    return min(SEVERAL, n - prefix(n) + 1) if n else 0
 
 
 def _mapper(size: int, late: list[int] | None):
-    """(a, b, sig, n, toks, bins): the prefix in order, or without ``late`` the whole set and no sketch."""
+    """(a, b, sig, n, fp, toks): the prefix of several in order, or without ``late`` the whole set and its fingerprint."""
 
     def run(batches):
         import numpy as np
@@ -75,24 +78,25 @@ def _mapper(size: int, late: list[int] | None):
             by = np.argsort(np.array(late, np.int64))
             known = np.array(late, np.int64)[by]
         for batch in batches:
-            sigs, ns, toks, bins = [], [], [], []
+            sigs, ns, fps, toks = [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 found = shingles(text, size)
+                n = len(found)
                 sigs.append(int(np.uint64(digest(found.tobytes(), 7)).view(np.int64)))
-                ns.append(len(found))
-                bins.append(None if late is None else sketch(found))
+                ns.append(n)
+                fps.append(simhash.of_hashes(found) if late is None else None)
                 if late:
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     found = found[np.argsort(np.where(known[at] == found, by[at] + 1, 0), kind="stable")]
-                toks.append(found if late is None else found[: prefix(len(found))])
+                toks.append(found if late is None or not n else found[: prefix(n) + several(n) - 1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sigs, pa.int64()), pa.array(ns, pa.int32()), pa.array(toks, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int8()))], ["a", "b", "sig", "n", "toks", "bins"]
+                [batch.column(0), batch.column(1), pa.array(sigs, pa.int64()), pa.array(ns, pa.int32()), pa.array(fps, pa.int64()), pa.array(toks, pa.list_(pa.int64()))], ["a", "b", "sig", "n", "fp", "toks"]
             )
 
     return run
 
 
-_SHAPE = "a long, b long, sig long, n int, toks array<long>, bins array<tinyint>"
+_SHAPE = "a long, b long, sig long, n int, fp long, toks array<long>"
 
 
 def _late(rows: DataFrame, size: int) -> list[int]:
@@ -112,61 +116,88 @@ def _fits(n: str, i: str, m: str, j: str) -> Column:
     return F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * (NUM + DEN) >= (F.col(n) + F.col(m)) * NUM
 
 
+def _least() -> Column:
+    """How many shingles of a set of ``n`` any other that links must have."""
+    return F.ceil(F.col("n") * NUM / DEN)
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """The sets (sig, n, fp, toks) with the shingles that another of them has, the rarest first; sets with too few go. A set may be there twice."""
+    by = Window.partitionBy("tok")
+    toks = sets.select("sig", F.explode("toks").alias("tok"))
+    toks = toks.select("sig", "tok", F.count(F.lit(1)).over(by).alias("df"), F.min("sig").over(by).alias("r"), F.max("sig").over(by).alias("s")).where("r <> s")
+    found = toks.groupBy("sig").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("df", "tok")))["tok"]).alias("toks"))
+    found = found.join(sets.select("sig", "n", "fp").distinct(), "sig")
+    return written(found.where(F.size("toks") >= _least()).select("sig", "n", "fp", "toks"), "sets")
+
+
+def _able(rows: DataFrame, placed: DataFrame, size: int) -> DataFrame:
+    """(sig, n, fp, toks): the different sets that may link with another, whole but for shingles that none of the others has, the rarest first."""
+    reps = placed.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("toks").alias("toks"), F.min(F.struct("a", "b")).alias("row"))
+    reps = written(reps, "sets")
+    toks = reps.select("sig", F.explode("toks").alias("tok"))
+    shared = written(toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("tok"), "shared")
+    met = written(toks.join(shared, "tok").groupBy("sig").agg(F.count(F.lit(1)).alias("met")), "met")
+    some = reps.join(met, "sig").where(F.col("met") >= F.least(F.lit(SEVERAL), _least()))
+    chosen, n = counted(some.select("row.a", "row.b"), "chosen")
+    if n <= BROADCAST_KEYS:  # texts stay where they are
+        chosen = F.broadcast(chosen)
+    sets = map_texts(rows.join(chosen, ["a", "b"], "left_semi"), _mapper(size, None), _SHAPE).select("sig", "n", "fp", "toks")
+    return _shared(_shared(written(sets, "whole")))
+
+
 def _linked(rows: DataFrame, placed: DataFrame, size: int) -> DataFrame:
     """(v, root): components of the sets ``sig`` of ``placed`` as all pairs that link would make them; those without a link are left out."""
-    reps = placed.groupBy("sig").agg(F.first("n").alias("n"), F.first("toks").alias("toks"), F.first("bins").alias("bins"), F.min(F.struct("a", "b")).alias("row"))
-    reps = written(reps, "sets")
-    toks = reps.select("sig", "n", F.posexplode("toks").alias("i", "tok"))
-    shared = written(toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
-    left = written(toks.join(shared, "tok"), "met")
+    sets = _able(rows, placed, size)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs (x, y) whose sets link, written. Whole sets are made of the texts that take part.
-
-        In each bin two sets share at most what the smaller count says; pairs that this rules out are not compared.
-        """
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        one, two = (reps.select(F.col("sig").alias(e), F.col("n").alias("n" + e), F.col("bins").alias("bins" + e)) for e in ("a", "b"))
-        most = F.aggregate(F.zip_with("binsa", "binsb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda t, x: t + x)
-        able = F.coalesce(most, F.least("na", "nb")) * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM
-        pairs = written(pairs.join(one, "a").join(two, "b").where(able).select("a", "b"), "pairs")
-        some = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        chosen, n = counted(reps.select("sig", "row").join(some, "sig").select("row.a", "row.b"), "chosen")
-        if n <= BROADCAST_KEYS:  # texts stay where they are
-            chosen = F.broadcast(chosen)
-        sets = written(map_texts(rows.join(chosen, ["a", "b"], "left_semi"), _mapper(size, None), _SHAPE).select("sig", "toks").dropDuplicates(["sig"]), "whole")
-        one, two = sets.select(F.col("sig").alias("a"), F.col("toks").alias("s")), sets.select(F.col("sig").alias("b"), F.col("toks").alias("t"))
-        same = F.size(F.array_intersect("s", "t")) * (NUM + DEN) >= (F.size("s") + F.size("t")) * NUM
+        """(a, b) of the pairs (x, y) whose sets link, written."""
+        pairs = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+        one, two = (sets.select(F.col("sig").alias(e), F.col("n").alias("n" + e), F.col("toks").alias("of" + e)) for e in ("a", "b"))
+        same = F.size(F.array_intersect("ofa", "ofb")) * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM
         return written(pairs.join(one, "a").join(two, "b").where(same).select("a", "b"), "linked")
 
+    roots = components(verified(_alike(sets)))
+    alone = F.col("n") - F.size("toks")  # come first
+    toks = sets.select("sig", "n", alone.alias("alone"), F.posexplode(F.slice("toks", F.lit(1), F.col("n") - _least().cast("int") + 1 - alone)).alias("i", "tok"))
+    toks = written(toks.select("tok", "sig", "n", (F.col("alone") + F.col("i")).alias("i")), "prefixes")
+    left = toks.join(toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "tok")
     fits = _fits("n", "i", "m", "j")
-    roots = None
     for k in range(ROUNDS + 2):
-        if 0 < k <= ROUNDS and left.where(F.col("df") > PAIRS).isEmpty():
+        # shingles whose sets are connected are done with
+        placed = left.join(roots, left["sig"] == roots["v"], "left").select("tok", "sig", "n", "i", "df", F.coalesce(roots["root"], "sig").alias("root"))
+        placed = written(placed, "rest")
+        mixed = placed.groupBy("tok").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("tok")
+        left, n = counted(placed.join(mixed, "tok"), "left")
+        if not n:
+            return roots
+        of = left if k == 0 else left.where(F.col("df") > PAIRS)
+        if 0 < k <= ROUNDS and of.isEmpty():
+            left = left.drop("root")
             continue
         # every shingle's sets with one of them, the smallest by another order each time; at last those that are left with each other
         if k <= ROUNDS:
             order = F.col("sig") if k == 0 else F.xxhash64("sig", F.lit(k))
-            of = left if k == 0 else left.where(F.col("df") > PAIRS)
-            far = of.groupBy("tok").agg(*[F.min_by(c, order).alias(d) for c, d in (("sig", "y"), ("n", "m"), ("i", "j"), *((("root", "to"),) if k else ()))])
+            far = of.groupBy("tok").agg(*[F.min_by(c, order).alias(d) for c, d in (("sig", "y"), ("n", "m"), ("i", "j"), ("root", "to"))])
             far = written(far, "pivots")
             pairs = of.join(far, "tok").where((F.col("sig") != F.col("y")) & fits)
         else:
             far = left.select("tok", F.col("sig").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("to"))
             pairs = left.join(far, "tok").where((F.col("sig") < F.col("y")) & fits)
-        if k:
-            pairs = pairs.where(F.col("root") != F.col("to"))
-        more = verified(pairs.select(F.col("sig").alias("x"), "y"))
-        roots = components(more) if roots is None else _joined(roots, more)
-        if k > ROUNDS:
-            return roots
-        # what has been compared with all of its shingle is done with; and so are shingles whose sets are connected
-        rest = left.join(far.select("tok", "y"), "tok", "left").where(F.col("y").isNull() | (F.col("sig") != F.col("y")))
-        rest = written(rest.join(roots, rest["sig"] == roots["v"], "left").select("tok", "sig", "n", "i", "df", F.coalesce(roots["root"], "sig").alias("root")), "rest")
-        mixed = rest.groupBy("tok").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("tok")
-        left, n = counted(rest.join(mixed, "tok"), "left")
-        if not n:
-            return roots
+        pairs = pairs.where(F.col("root") != F.col("to"))
+        roots = _joined(roots, verified(pairs.select(F.col("sig").alias("x"), "y")))
+        # so is what has been compared with all of its shingle
+        left = left.join(far.select("tok", "y"), "tok", "left").where(F.col("y").isNull() | (F.col("sig") != F.col("y"))).drop("y", "root") if k <= ROUNDS else left
+    return roots
+
+
+def _alike(sets: DataFrame) -> DataFrame:
+    """(x, y): pairs of sets whose SimHash fingerprints differ in ``RADIUS`` bits at most; sets of one fingerprint are each paired with the least."""
+    of = written(sets.groupBy("fp").agg(F.min("sig").alias("least")), "fingerprints")
+    near = simhash.candidates(of.select("fp"), RADIUS)
+    near = near.join(of.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    same = sets.select("fp", F.col("sig").alias("x")).join(of, "fp").where(F.col("x") != F.col("least"))
+    return near.select("x", "y").unionByName(same.select("x", F.col("least").alias("y")))
 
 
 def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ from ._graph import components
 
 #: Fingerprints of a bucket up to which its pairs are compared.
 PAIRS = 32
+#: Hashes whose bits are counted at once.
+STEP = 1 << 14
 
 
 def _signed(x: int) -> int:
@@ -36,7 +38,8 @@ def _signed(x: int) -> int:
 def masks(radius: int) -> list[int]:
     """The 2^(radius+1) - 1 masks of the covering family, as signed 64-bit integers."""
     vectors = (1 << radius + 1) - 1
-    of = [i % vectors + 1 for i in range(64)]
+    step = 1 + vectors // 64  # of more vectors than bits the odd ones, so that no mask has few bits
+    of = [i * step % vectors + 1 for i in range(64)]
     return [_signed(sum(1 << i for i in range(64) if (of[i] & v).bit_count() & 1)) for v in range(1, vectors + 1)]
 
 
@@ -45,14 +48,36 @@ def ball(radius: int) -> list[int]:
     return [_signed(sum(1 << i for i in c)) for k in range(radius + 1) for c in combinations(range(64), k)]
 
 
+def ones(hashes):
+    """How many of the 64-bit hashes set each bit."""
+    import numpy as np
+
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts, n: int) -> int:
+    """The signed fingerprint of ``n`` hashes whose ``ones`` are counted: bits that over half of them set."""
+    import numpy as np
+
+    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little", signed=True)
+
+
+def of_hashes(hashes) -> int:
+    """The signed fingerprint of an array of hashes, zero of none."""
+    import numpy as np
+
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), STEP):
+        counts += ones(hashes[at : at + STEP])
+    return majority(counts, len(hashes))
+
+
 def _fingerprinter(shingle: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh64_intdigest as digest
 
-        step = 1 << 14
-
         def fingerprint(text: bytes) -> int:
             words = text.lower().split()  # of bytes: A-Z only, and x20, x09-x0D
             n = len(words) - shingle + 1
@@ -62,12 +87,11 @@ def _fingerprinter(shingle: int):
                 parts, n = [b" ".join(words)], 1
             else:
                 parts = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-            ones = np.zeros(64, np.int64)
-            for at in range(0, n, step):
-                part = parts[at : at + step]
-                h = np.fromiter((digest(s, 42) for s in part), np.uint64, len(part))
-                ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little", signed=True)
+            counts = np.zeros(64, np.int64)
+            for at in range(0, n, STEP):
+                part = parts[at : at + STEP]
+                counts += ones(np.fromiter((digest(s, 42) for s in part), np.uint64, len(part)))
+            return majority(counts, n)
 
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
@@ -89,16 +113,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(rows, _fingerprinter(shingle), f"doc {kind}, fp long")
 
 
+def _buckets(found: DataFrame, radius: int) -> DataFrame:
+    """(v, key, fp, n): the distinct fingerprints ``fp`` in each table's buckets of ``n``, those alone left out."""
+    tables = F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in enumerate(masks(radius))])
+    keyed = written(found.select("fp", F.explode(tables).alias("t")).select("t.v", "t.key", "fp"), "keyed")
+    shared = written(keyed.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    return written(keyed.join(shared, ["v", "key"]), "met")
+
+
 def links(found: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b) that connect distinct fingerprints ``fp`` within ``radius`` bits.
 
     A large bucket's edges go through values that need not be fingerprints."""
     if radius < 2 or radius % 2:
         raise ValueError("the radius is 2, 4, ...: a large bucket halves it")
-    tables = F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in enumerate(masks(radius))])
-    keyed = written(found.select("fp", F.explode(tables).alias("t")).select("t.v", "t.key", "fp"), "keyed")
-    shared = written(keyed.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    met = written(keyed.join(shared, ["v", "key"]), "met")
+    met = _buckets(found, radius)
     small, large = met.where(F.col("n") <= PAIRS), met.where(F.col("n") > PAIRS)
     other = small.select("v", "key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius
@@ -108,6 +137,21 @@ def links(found: DataFrame, radius: int) -> DataFrame:
     return pairs.unionByName(spokes)
 
 
+def candidates(found: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints ``fp`` within ``radius`` bits, for a check of each that follows.
+
+    They are all such pairs of buckets of up to ``PAIRS``; in a larger bucket each is only paired with the least, which is
+    linear. What that leaves out is the caller's to find.
+    """
+    met = _buckets(found, radius)
+    small, large = met.where(F.col("n") <= PAIRS), met.where(F.col("n") > PAIRS)
+    pairs = small.join(small.select("v", "key", F.col("fp").alias("b")), ["v", "key"]).where(F.col("fp") < F.col("b"))
+    least = large.groupBy("v", "key").agg(F.min("fp").alias("a"))
+    spokes = large.join(least, ["v", "key"]).where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
+    both = pairs.select(F.col("fp").alias("a"), "b").unionByName(spokes)
+    return both.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(``id_col``, fingerprint, component_id), one row for each row of ``docs``.
 

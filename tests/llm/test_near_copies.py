@@ -82,3 +82,32 @@ def test_one_row_of_each_component(spark):
 
 def test_no_rows(spark):
     assert corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
+def test_simhash_finds_pairs_first(spark, monkeypatch):
+    """The stage's links come from fingerprints of five-word shingles where these are near, and only the others from shared shingles."""
+    rng = random.Random(5)
+    base = [" ".join(rng.choice(WORDS) for _ in range(300)) for _ in range(6)]
+    texts = base + [edited(rng, t, 1) for t in base]
+    seen = []
+    compared = near_copies.simhash.candidates
+
+    def spied(found, radius):
+        seen.append(({r.fp for r in found.collect()}, compared(found, radius).collect()))
+        return compared(found, radius)
+
+    monkeypatch.setattr(near_copies.simhash, "candidates", spied)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == plain_kept(texts) == set(range(6))
+    (found, pairs), = seen
+    want = {near_copies.simhash.of_hashes(near_copies.shingles(t.encode(), 5)) for t in texts}
+    apart = {(a, b) for a in want for b in want if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= near_copies.RADIUS}
+    assert found == want and apart and {(r.a, r.b) for r in pairs} == apart
+
+
+def test_masks_of_radius_six_miss_no_pair_and_have_many_bits():
+    masks, rng = near_copies.simhash.masks(6), random.Random(1)
+    assert len(masks) == 127 and min((m & (2**64 - 1)).bit_count() for m in masks) >= 32
+    for _ in range(3000):
+        d = sum(1 << i for i in rng.sample(range(64), rng.randrange(1, 7)))
+        assert any(d & m == 0 for m in masks)

@@ -111,3 +111,36 @@ def test_masks_of_radius_six_miss_no_pair_and_have_many_bits():
     for _ in range(3000):
         d = sum(1 << i for i in rng.sample(range(64), rng.randrange(1, 7)))
         assert any(d & m == 0 for m in masks)
+
+
+def joined_rows(spark, since):
+    """Rows that each join of shingles with themselves made, of the executions after the first ``since``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    executions, out = store.executionsList(), []
+    for k in range(since, executions.size()):
+        at = executions.apply(k).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for i in range(nodes.size()):
+            node = nodes.apply(i)
+            if "Join" in node.name() and "sig#" in node.desc() and "<" in node.desc():
+                for j in range(node.metrics().size()):
+                    m = node.metrics().apply(j)
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        out.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return out
+
+
+def test_texts_of_common_passages_are_not_joined_pair_by_pair(spark, monkeypatch):
+    """Texts share two thirds of their words with 29 others and are copies of none; the sample for the order sees few of them."""
+    rng = random.Random(7)
+    passages = [" ".join(rng.choice(WORDS) for _ in range(120)) for _ in range(20)]
+    texts = [p + " " + " ".join(rng.choice(WORDS) for _ in range(60)) for p in passages for _ in range(30)]
+    texts += [edited(rng, t, 1) for t in texts[::50]]
+    monkeypatch.setattr(near_copies, "SAMPLE", 20)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    store = spark._jsparkSession.sharedState().statusStore()
+    since = store.executionsList().size()
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(range(600))
+    assert sum(joined_rows(spark, since)) < 10 * len(texts)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_hash, col, keys, map_texts, table, written
+from ._common import by_hash, col, keys, local_frame, map_texts, table, written
 
 BITS = 17
 #: Bytes of a word's start that is a feature besides the word.
@@ -278,20 +278,24 @@ def _lexicons(rows: DataFrame, judged: dict[int, bool]) -> list[tuple]:
     ``judged`` are the annotated texts' keys and whether they are toxic, a bounded sample.
     """
 
+    import pyarrow as pa
+
     def telling(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             at, found = batch.column(0).to_pylist(), []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 words = lowered(dict.fromkeys((text or b"").split()))
-                found.append([b"w" + w for w in words] + [b"s" + w for w in starts_of(words)])
+                found.append(pa.array([b"w" + w for w in words] + [b"s" + w for w in starts_of(words)], pa.binary()))
+            upto = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
             toxic = batch.column(1)
-            yield pa.RecordBatch.from_arrays([pa.array([a & 1 for a in at], pa.int32()), toxic, pa.array(found, pa.list_(pa.binary()))], ["half", "toxic", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array([a & 1 for a in at], pa.int32()), toxic, pa.ListArray.from_arrays(upto, pa.concat_arrays(found))], ["half", "toxic", "found"])
 
     if not any(judged.values()):
         return [(frozenset(), frozenset())] * 2
-    wanted = F.broadcast(rows.sparkSession.createDataFrame(list(judged.items()), "at long, toxic boolean"))
+    wanted = F.broadcast(local_frame(rows.sparkSession, at=pa.array(judged.keys(), pa.int64()), toxic=pa.array(judged.values(), pa.bool_())))
     each = map_texts(rows.join(wanted, "at").select("at", "toxic", "text").dropDuplicates(["at"]), telling, "half int, toxic boolean, found array<binary>")
     counts = each.select("half", "toxic", F.explode("found").alias("x")).groupBy("half", "x").agg(F.count(F.when(F.col("toxic"), 1)).alias("bad"), F.count(F.lit(1)).alias("n"))
     counts = written(counts.where((F.col("bad") >= LEAST_TEXTS) & (F.col("bad") >= TELLING * F.col("n"))), "telling")
@@ -359,9 +363,11 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
             found = [buckets(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["at", "features"])
 
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(at,) for at in chosen], "at long"))
-    described = map_texts(rows.join(wanted, "at").select("at", "text").dropDuplicates(["at"]), describing, "at long, features binary")
     import numpy as np
+    import pyarrow as pa
+
+    wanted = F.broadcast(local_frame(docs.sparkSession, at=pa.array(chosen, pa.int64())))
+    described = map_texts(rows.join(wanted, "at").select("at", "text").dropDuplicates(["at"]), describing, "at long, features binary")
 
     features, held = {}, 0
     for r in written(described, "described").orderBy("at").toLocalIterator():

@@ -27,6 +27,43 @@ def test_settings_of_the_session_stay(spark):
     assert spark.conf.get(name) == before
 
 
+def test_workers_give_back_what_they_have_free(monkeypatch):
+    """At the end of a task, and of one that its reader leaves early."""
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    seen = []
+    monkeypatch.setattr(_common, "give_back", lambda: seen.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", None, "b"])], ["t"])
+    run = _common.map_texts(Frame(), lambda batches: batches, "t string")
+    assert [b.num_rows for b in run([batch, batch])] == [3, 3] and len(seen) == 1
+    left = run([batch, batch])
+    next(left)
+    left.close()
+    assert len(seen) == 2
+
+
+def test_giving_back_frees_memory():
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith("Anonymous:")) / 1024
+
+    kept = [bytes(1000) for _ in range(200_000)]
+    kept = kept[::1000]  # what stays keeps the allocator from shrinking its end
+    before = held()
+    _common.give_back()
+    assert held() < before - 50 and len(kept) == 200
+
+
+def test_frames_of_the_driver_need_no_workers(spark):
+    df = _common.local_frame(spark, at=pa.array([3, -(2**63), 2**63 - 1], pa.int64()), toxic=pa.array([True, False, None], pa.bool_()))
+    assert sorted(map(tuple, df.collect())) == [(-(2**63), False), (3, True), (2**63 - 1, None)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+
+
 def test_counts_while_writing(spark):
     df, n = _common.counted(spark.range(100), "numbers", F.col("id") % 3 == 0)
     assert n == 34 and df.count() == 100

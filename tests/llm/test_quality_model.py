@@ -93,3 +93,16 @@ def test_lexicons_vote_on_the_other_half(spark):
     for half, (words, _) in enumerate(halves):  # words of one text of the own half only are never known
         own = {f"n{r['doc']}".encode() for r in keyed.collect() if r["at"] & 1 == half}
         assert not words & own
+
+
+def test_fit_starts_no_workers_for_lists(spark, monkeypatch):
+    """Executors would keep workers of a second kind beside those of the texts."""
+    texts = ["you are all gruesome wretches", "a quiet morning by the lake", "###### %%%% $$$$ @@@@ ^^^^"]
+    docs = spark.createDataFrame([(i, f"{texts[i % 3]} {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 < 2), int(i % 3 == 0)) for i in range(45)], "doc_id long, quality int, toxic int")
+    made = []
+    whole = type(spark.sparkContext).parallelize
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda self, *a, **b: made.append(1) or whole(self, *a, **b))
+    scorer = quality.fit(docs, labels)
+    assert made == []
+    assert scorer(b"you are all gruesome wretches 60")[1] > 0 > scorer(b"a quiet morning by the lake 60")[1]

@@ -27,6 +27,41 @@ def test_settings_of_the_session_stay(spark):
     assert spark.conf.get(name) == before
 
 
+def _seen(df):
+    """Of each slice that ``map_texts`` gives: its rows and the bytes that Spark sent with it."""
+
+    def look(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.column(0).buffers()[2].size])], ["n", "size"])
+
+    return _common.map_texts(df, look, "n long, size long")
+
+
+def test_spark_sends_texts_in_small_batches(spark):
+    """By rows and by bytes, also where the frame is run by others later on."""
+    short = _seen(spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("ab"), 10).alias("t"))).select("n", "size").collect()
+    assert sum(r["n"] for r in short) == 3000 and max(r["n"] for r in short) <= 500
+    long = _seen(spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t"))).collect()
+    assert sum(r["n"] for r in long) == 400 and max(r["size"] for r in long) < 10_000_000
+
+
+def test_small_batches_leave_the_rest_to_the_session(spark):
+    rows, parts = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions"
+    df, had = spark.range(0, 3000, 1, 1).select(F.lit("a").alias("t")), spark.conf.get(parts)
+    try:
+        for n in ("3", "5"):
+            spark.conf.set(parts, n)
+            assert _seen(df).sparkSession.conf.get(parts) == n
+        spark.conf.set(rows, "700")  # what a session sets itself holds
+        assert max(r["n"] for r in _seen(df).collect()) == 700
+    finally:
+        spark.conf.unset(rows)
+        spark.conf.set(parts, had)
+    assert max(r["n"] for r in _seen(df).collect()) <= 500
+    assert _common.written(_seen(df), "seen").sparkSession is spark and not [t for t in spark.catalog.listTables("global_temp") if t.name.startswith("texts_")]
+    assert _seen(_seen(df).select(F.col("n").cast("string").alias("t"))).count()
+
+
 def test_workers_give_back_what_they_have_free(monkeypatch):
     """At the end of a task, and of one that its reader leaves early."""
 
